@@ -199,13 +199,15 @@ def redact(docs: DataFrame, grammar: Grammar, *, text: str = "text", mark: str =
         return "".join([*out, t[done:]])
 
     def run(batches):
-        for batch in batches:
-            flags = suspicious(batch.column(at))
-            if flags.any():
-                texts = batch.column(at).to_pylist()
-                for k in np.flatnonzero(flags):
-                    texts[k] = clean(texts[k])
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):  # small pieces, as their texts become Python strings
+                batch = whole.slice(lo, 512)
+                flags = suspicious(batch.column(at))
+                if flags.any():
+                    texts = batch.column(at).to_pylist()
+                    for k in np.flatnonzero(flags):
+                        texts[k] = clean(texts[k])
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                yield batch
 
     return docs.mapInArrow(run, docs.schema)

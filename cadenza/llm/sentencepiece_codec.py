@@ -16,7 +16,7 @@ from __future__ import annotations
 import struct
 import zlib
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,32 +94,35 @@ class Spec:
         return out
 
 
-def build(spec: Spec):
-    """The tokenizers pipeline for a model: (with normaliser and decoder, model alone)."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+def model_alone(spec: Spec):
+    """The tokenizers model without normaliser: unigram scores, or merges in order of score, and byte fallback."""
+    from tokenizers import Tokenizer, models
 
     ids = {piece: k for k, (piece, _, _) in enumerate(spec.pieces)}
     unknown = next(k for k, (_, _, kind) in enumerate(spec.pieces) if kind == UNKNOWN)
+    if spec.kind == UNIGRAM:
+        return Tokenizer(models.Unigram([(p, s if kind in (NORMAL, USER_DEFINED) else -1e9) for p, s, kind in spec.pieces], unknown, spec.byte_fallback))
+    usable = {p for p, _, kind in spec.pieces if kind in (NORMAL, USER_DEFINED)}
+    merges = [(-s, ids[p], ids[p[:k]], ids[p[k:]]) for p, s, _ in spec.pieces if p in usable for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
+    pairs = [(spec.pieces[a][0], spec.pieces[b][0]) for *_, a, b in sorted(merges)]
+    return Tokenizer(models.BPE(ids, pairs, unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback))
+
 
-    def model():
-        if spec.kind == UNIGRAM:
-            return models.Unigram([(p, s if kind in (NORMAL, USER_DEFINED) else -1e9) for p, s, kind in spec.pieces], unknown, spec.byte_fallback)
-        usable = {p for p, _, kind in spec.pieces if kind in (NORMAL, USER_DEFINED)}
-        merges = [(-s, ids[p], ids[p[:k]], ids[p[k:]]) for p, s, _ in spec.pieces if p in usable for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
-        pairs = [(spec.pieces[a][0], spec.pieces[b][0]) for *_, a, b in sorted(merges)]
-        return models.BPE(ids, pairs, unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
+def build(spec: Spec):
+    """The whole pipeline for a model: normaliser, marker, model and decoder."""
+    from tokenizers import Regex, decoders, normalizers
 
     steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
     if spec.squeeze:
         steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Strip()]
     steps += [normalizers.Prepend(MARK)] if spec.dummy_prefix else []
-    whole, alone = Tokenizer(model()), Tokenizer(model())
+    whole = model_alone(spec)
     whole.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
     whole.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.dummy_prefix else [])])
     own = [p for p, _, kind in spec.pieces if kind == USER_DEFINED]
     if own:
         whole.add_tokens(own)
-    return whole, alone
+    return whole
 
 
 class Codec:
@@ -127,15 +130,19 @@ class Codec:
 
     def __init__(self, path: str):
         self.spec = Spec.read(path)
-        self.whole, alone = build(self.spec)
+        alone = model_alone(self.spec)
         own = any(kind == USER_DEFINED for *_, kind in self.spec.pieces)
         self.chunked = not own and not any(MARK in p.lstrip(MARK) for p, _, kind in self.spec.pieces if kind == NORMAL)
         self.plain = not self.spec.charsmap and not self.spec.squeeze and self.spec.dummy_prefix
-        self.pool = Pool(lambda chunks: [e.ids for e in alone.encode_batch_fast([MARK + c for c in chunks], add_special_tokens=False)])
+        self.pool = Pool(lambda chunks: [e.ids for e in alone.encode_batch_fast([MARK + c for c in chunks], add_special_tokens=False)], limit=1 << 17)
         table = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces]
         self.length = np.array([len(x) for x in table], np.int64)
         self.start, self.bytes = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(table), np.uint8)
 
+    @cached_property
+    def whole(self):
+        return build(self.spec)
+
     def _chunks(self, text: str) -> list[str]:
         """What follows the first marker of each chunk of the normalised text."""
         if not self.plain:

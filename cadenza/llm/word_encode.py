@@ -19,7 +19,7 @@ from . import ragged
 class Pool:
     """Remembers the ids of pieces. `encode` gives the ids of each piece of a list."""
 
-    def __init__(self, encode: Callable[[list], list], limit: int = 1 << 19):
+    def __init__(self, encode: Callable[[list], list], limit: int = 1 << 18):
         self.encode, self.limit = encode, limit
         self._clear()
 
