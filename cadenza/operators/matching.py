@@ -1,0 +1,116 @@
+"""One-to-one assignment, suppression and sequence alignment: sequential rules, run group by group with Arrow.
+
+Groups are small by nature (candidates of a measure, events of a user); a group is held by one task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def closest_pairs(a: np.ndarray, b: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """Greedy over all pairs within `most`: the closest free pair first, ties by place in a, then in b."""
+    left, right = np.nonzero(np.abs(a[:, None] - b[None, :]) <= most)
+    order = np.lexsort((right, left, np.abs(a[left] - b[right])))
+    used_a, used_b, out = set(), set(), []
+    for k in order:
+        i, j = int(left[k]), int(right[k])
+        if i not in used_a and j not in used_b:
+            used_a.add(i)
+            used_b.add(j)
+            out.append((i, j))
+    return out
+
+
+def nearest_unused(a: np.ndarray, b: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """Each of a in its order takes the nearest free one of b within `most`."""
+    free, out = np.ones(len(b), bool), []
+    for i, x in enumerate(a):
+        distance = np.where(free, np.abs(b - x), np.inf)
+        if len(b) and distance.min() <= most:
+            j = int(distance.argmin())
+            free[j] = False
+            out.append((i, j))
+    return out
+
+
+def match(left: DataFrame, right: DataFrame, by: str, key: str, at: str, most: float, rule: Callable = closest_pairs) -> DataFrame:
+    """Matched pairs of each group: (by, left_key, right_key, distance). Rows are taken in order of key."""
+    kind = left.schema[by].dataType.simpleString()
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values(key), b.sort_values(key)
+        x, y = a[at].to_numpy(float), b[at].to_numpy(float)
+        pairs = rule(x, y, most)
+        i, j = (np.array([p[k] for p in pairs], int) for k in (0, 1))
+        group = a[by].iloc[0] if len(a) else None
+        return pd.DataFrame({by: [group] * len(i), "left_key": a[key].to_numpy()[i], "right_key": b[key].to_numpy()[j], "distance": np.abs(x[i] - y[j])})
+
+    cols = [by, key, at]
+    return left.select(*cols).groupBy(by).cogroup(right.select(*cols).groupBy(by)).applyInPandas(run, f"`{by}` {kind}, left_key long, right_key long, distance double")
+
+
+def suppress(df: DataFrame, by: str, key: str, at: str, score: str, least: float, most: int | None = None) -> DataFrame:
+    """Non-max suppression: by falling score (ties by key) a row is kept if no kept one is nearer than `least`; at most `most`."""
+    kind = df.schema[by].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, kept = rows.sort_values([score, key], ascending=[False, True]), []
+        x, names = rows[at].to_numpy(float), rows[key].to_numpy()
+        for k in range(len(rows)):
+            if most is not None and len(kept) >= most:
+                break
+            if not kept or np.abs(x[kept] - x[k]).min() >= least:
+                kept.append(k)
+        return pd.DataFrame({by: rows[by].iloc[kept], key: names[kept], "place": range(1, len(kept) + 1)})
+
+    return df.select(by, key, at, score).groupBy(by).applyInPandas(run, f"`{by}` {kind}, `{key}` long, place int")
+
+
+def align(a: Sequence, b: Sequence, pair_cost: Callable = lambda x, y: float(x != y)) -> list[tuple[int | None, int | None]]:
+    """Global alignment with gaps of cost 1: (place in a or none, place in b or none). On equal cost a pair comes first, then a gap in b."""
+    cost = np.zeros((len(a) + 1, len(b) + 1))
+    cost[:, 0], cost[0] = np.arange(len(a) + 1), np.arange(len(b) + 1)
+    step = np.zeros((len(a) + 1, len(b) + 1), np.int8)
+    step[1:, 0], step[0, 1:] = 1, 2
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            choices = (cost[i - 1, j - 1] + pair_cost(a[i - 1], b[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+            step[i, j] = int(np.argmin(choices))
+            cost[i, j] = choices[step[i, j]]
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        s = step[i, j]
+        i, j = i - (s != 2), j - (s != 1)
+        out.append((i if s != 2 else None, j if s != 1 else None))
+    return out[::-1]
+
+
+def edits(a: Sequence, b: Sequence) -> dict[str, int]:
+    """Counts of exact, substituted, inserted (in b only) and deleted (in a only) tokens of an alignment."""
+    out = {"exact": 0, "substituted": 0, "inserted": 0, "deleted": 0}
+    for i, j in align(a, b):
+        out["inserted" if i is None else "deleted" if j is None else "exact" if a[i] == b[j] else "substituted"] += 1
+    return out
+
+
+def rising_matches(xs: Sequence[float], kinds: Sequence, wanted: Sequence) -> list[int | None]:
+    """For each wanted kind in order a place in xs (ordered) of that kind, places rising, as many as possible."""
+    n, m = len(xs), len(wanted)
+    best = np.zeros((m + 1, n + 1), int)
+    for i in range(m - 1, -1, -1):
+        for j in range(n - 1, -1, -1):
+            best[i, j] = max(best[i + 1, j], best[i, j + 1], (kinds[j] == wanted[i]) * (1 + best[i + 1, j + 1]))
+    out, j = [], 0
+    for i in range(m):
+        k = next((k for k in range(j, n) if kinds[k] == wanted[i] and 1 + best[i + 1, k + 1] == best[i, j]), None)
+        if k is None or best[i, j] == best[i + 1, j] and 1 + best[i + 1, k + 1] < best[i, j]:
+            out.append(None)
+        else:
+            out.append(k)
+            j = k + 1
+    return out
