@@ -114,7 +114,7 @@ class ByteBpe:
             extra.append(len(parts) - 1)
             found.append(self.split.findall(parts[0]) if len(parts) == 1 else [x for p in parts for x in self.split.findall(p)])
         seen = set().union(*found)
-        fresh = seen - self.known.keys()
+        fresh = {x for x in seen if x not in self.known}
         full = len(self.known) + len(fresh) > self.remember
         if full:  # what is known, mostly the frequent pieces, stays until as many others have missed it
             self.missed += len(fresh)

@@ -97,9 +97,14 @@ class Dac:
         return out
 
 
+def _words(text: bytes) -> list[bytes]:
+    """The text's words, A-Z in lower case as the tokenizer puts them, unless a special token's string may stand in it."""
+    return (text if b"<|" in text else text.lower()).split()
+
+
 @lru_cache(maxsize=2)
 def _pool(path: str) -> Pool:
-    """Ids of words for a tokenizer that drops white space and works on each word alone."""
+    """Ids of words for a tokenizer that drops white space, puts A-Z in lower case and works on each word alone."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # every core has a task of its own
     from tokenizers import Tokenizer
 
@@ -111,7 +116,7 @@ def _pool(path: str) -> Pool:
         return [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
     for probe in ("a b", " Ab\t\nc<|x|>  d' s", "é  é\x0c'll"):
-        if tokenizer.encode(probe, add_special_tokens=False).ids != [i for x in encode(probe.encode().split()) for i in x]:
+        if tokenizer.encode(probe, add_special_tokens=False).ids != [i for x in encode(_words(probe.encode())) for i in x]:
             raise ValueError(f"{path} doesn't encode word by word")
     return Pool(encode)
 
@@ -148,7 +153,7 @@ def write_ids(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
         for batch in batches:
             texts = batch.column(1).fill_null("")
             for lo in range(0, len(texts), 128):
-                some = [t.encode().split() for t in texts.slice(lo, 128).to_pylist()]
+                some = [_words(t.encode()) for t in texts.slice(lo, 128).to_pylist()]
                 flat, n = pool(some)
                 ends = np.cumsum(n)
                 ids.append(np.insert(flat, ends, end_id))

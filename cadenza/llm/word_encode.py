@@ -10,6 +10,7 @@ moment only; when as many words have missed it as it holds, it starts afresh.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -19,7 +20,7 @@ from . import ragged
 class Pool:
     """Remembers the ids of pieces. `encode` gives the ids of each piece of a list."""
 
-    def __init__(self, encode: Callable[[list], list], limit: int = 1 << 18):
+    def __init__(self, encode: Callable[[list], list], limit: int = 1 << 19):
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -33,7 +34,7 @@ class Pool:
             part = pieces[lo : lo + 8192]
             found = self.encode(part)
             n, have = np.array([len(x) for x in found], np.int64), len(self.index)
-            new = np.fromiter((i for x in found for i in x), np.int32, int(n.sum()))
+            new = np.fromiter(chain.from_iterable(found), np.int32, int(n.sum()))
             while self.used + len(new) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
             while have + len(part) > len(self.starts):
@@ -47,18 +48,17 @@ class Pool:
     def __call__(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as lists of pieces, in one array, and the number of ids of each text."""
         seen = set().union(*texts)
-        fresh, have, used = seen - self.index.keys(), len(self.index), self.used
+        fresh, have, used = [x for x in seen if x not in self.index], len(self.index), self.used
         full = have + len(fresh) > self.limit
         if full:
             self.missed += len(fresh)
             if self.missed > self.limit:
                 self._clear()
-                fresh, full = seen, False
-        fresh = list(fresh)
+                fresh, full = list(seen), False
         if fresh:
             self._add(fresh)
         n = [len(x) for x in texts]
-        at = np.fromiter((i for x in texts for i in map(self.index.__getitem__, x)), np.int64, sum(n))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, sum(n))
         lengths = self.lengths[at]
         out = ragged.gather(self.ids, self.starts[at], lengths), ragged.sums(lengths, np.r_[0, np.cumsum(n)])
         if full:
