@@ -17,6 +17,7 @@ order of text; null keys come first. An empty table gives no segment. Only key a
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -97,9 +98,16 @@ class Dac:
         return out
 
 
+_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9\s]+")
+
+
 def _words(text: bytes) -> list[bytes]:
-    """The text's words, A-Z in lower case as the tokenizer puts them, unless a special token's string may stand in it."""
-    return (text if b"<|" in text else text.lower()).split()
+    """Pieces that the tokenizer works on one by one: white-space separated words with A-Z in lower case; for plain ASCII
+    without apostrophes also letters, digits and signs apart. Where a special token's string may stand, words as they are."""
+    if b"<|" in text:
+        return text.split()
+    text = text.lower()
+    return _PIECES.findall(text) if text.isascii() and b"'" not in text else text.split()
 
 
 @lru_cache(maxsize=2)
