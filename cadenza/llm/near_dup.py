@@ -14,6 +14,11 @@ only links that join what the group hadn't joined yet are passed on, at most one
 so no group puts out all its pairs. A group's search visits each member once and compares it with
 those not reached yet: it takes 8 bytes a member, and a group of near copies needs few passes.
 
+A key shared by many fingerprints is hot: its group is cut into blocks of about `MEMBERS` members by
+hash, and each two blocks, and each block alone, are searched in a task's group of their own. All pairs
+of a hot group thus meet in some task of bounded size. Which keys are hot is estimated; this decides
+only where pairs meet, not which.
+
 Defined results: null and empty texts and texts without a word have fingerprint zero and are linked
 like others. Rows with null ids take part; a component's id is the least id that isn't null (null if
 there is none). Repeated rows get the same component. Only key and text are read.
@@ -33,6 +38,8 @@ from .storage import materialize
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Members of a block of a hot key's group, and one fingerprint in how many is counted to find hot keys.
+MEMBERS, COUNTED = 1 << 15, 16
 
 
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -165,14 +172,34 @@ def fingerprint_table(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, print long")
 
 
-def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def hot_keys(distinct: DataFrame, members: int = MEMBERS, counted: int = COUNTED) -> DataFrame:
+    """Keys of about more than `members` fingerprints, and the number of blocks to cut each group into."""
+    some = distinct.select("print").where(F.pmod(F.xxhash64("print"), F.lit(counted)) == 0)
+    counts = some.mapInArrow(_explode, "key long, print long").groupBy("key").agg((F.count("*") * counted).alias("n"))
+    return counts.where(F.col("n") > members).select("key", F.ceil(F.col("n") / members).alias("blocks"))
+
+
+def deal(keyed: DataFrame, hot: DataFrame) -> DataFrame:
+    """The keyed fingerprints, those of hot keys once for each block that theirs must meet, under a key of the two blocks."""
+    blocks = F.col("blocks")
+    own = F.pmod(F.xxhash64("print"), blocks)
+    meetings = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
+    to = F.when(blocks.isNull(), F.array("key")).otherwise(meetings)
+    return keyed.join(hot, "key", "left").select(F.explode(to).alias("key"), "print")
+
+
+def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: int = MEMBERS, counted: int = COUNTED) -> DataFrame:
     """One row per input row: key, fingerprint (16 hex digits) and component_id."""
     table = materialize(fingerprint_table(docs, key=key, text=text), "fingerprints")
     distinct = materialize(table.groupBy("print").agg(F.min(key).alias("least")), "distinct")
     spark = docs.sparkSession
-    # 185 keys a fingerprint: enough partitions that a task sorts about a million rows
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + distinct.count() * 185 // 1_000_000)
     keyed = distinct.select("print").mapInArrow(_explode, "key long, print long")
+    hot = materialize(hot_keys(distinct, members, counted), "hot-keys")
+    repeats = hot.agg(F.sum(F.col("blocks") * F.col("blocks")).alias("n")).first().n or 0
+    if repeats:
+        keyed = deal(keyed, hot)  # Spark broadcasts `hot` or not by the size of its files
+    # 185 keys a fingerprint, and the members of hot groups once a block: enough partitions that a task sorts about a million rows
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (distinct.count() * 185 + repeats * members) // 1_000_000)
     links = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_link, "a long, b long")
     roots = components(links)
     least = distinct.join(roots, distinct.print == roots.node, "left").select("print", F.coalesce("root", "print").alias("root"), "least")

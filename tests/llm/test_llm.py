@@ -102,6 +102,22 @@ def test_large_group_of_near_copies_links_without_all_pairs():
     assert len(a) == len(group) - 1 and (np.bitwise_count(a ^ b) <= 4).all()
 
 
+def test_hot_groups_cut_into_blocks_give_the_same_components(spark, documents):
+    got = by_id(near_dup.find(queries.table(spark, SF, "documents"), members=3, counted=1))
+    prints = np.array([brute_print(t) for _, t in documents], np.uint64)
+    assert [got[i].component_id for i, _ in documents] == brute_components(prints, [i for i, _ in documents])
+
+
+def test_blocks_of_a_hot_group_are_bounded_and_meet_each_other(spark):
+    keyed = spark.range(300).selectExpr("7L AS key", "id AS print").union(spark.range(5).selectExpr("8L AS key", "id AS print"))
+    dealt = near_dup.deal(keyed, spark.createDataFrame([(7, 10)], "key long, blocks long")).collect()
+    groups = {}
+    for r in dealt:
+        groups.setdefault(r.key, set()).add(r.print)
+    assert groups.pop(8) == set(range(5)) and len(groups) == 55 and max(map(len, groups.values())) < 120
+    assert len({(a, b) for g in groups.values() for a in g for b in g if a < b}) == 300 * 299 // 2
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
