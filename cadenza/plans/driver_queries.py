@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import matching, metrics, models, timeline
+from ..operators import integrity, matching, metrics, models, timeline
+from ..sources import notation
 from ..streaming.sessions import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -398,3 +399,16 @@ def model_summary(spark, sf_dir):
     each = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"))
     sums = each.groupBy("l_returnflag").agg(F.sum("n").alias("total"), F.count("*").alias("groups"), F.max("n").alias("most"))
     return sums.withColumn("leader", F.rank().over(W.orderBy(F.desc("total"))).cast("long"))
+
+
+@query("SELECT p_brand, count(p_size) AS n, count(p_size) - count(DISTINCT p_size) AS repeats, max(p_size) - min(p_size) + 1 - count(DISTINCT p_size) AS missing FROM part GROUP BY p_brand HAVING count(p_size) > count(DISTINCT p_size) OR max(p_size) - min(p_size) + 1 > count(DISTINCT p_size)")
+def catalog_cover(spark, sf_dir):
+    """Brands whose sizes repeat or leave gaps, as a catalog's pages would."""
+    return integrity.catalog_problems(table(spark, sf_dir, "part"), "p_brand", "p_size")
+
+
+@query("""WITH r AS (SELECT p_partkey, p_size * 24 // gcd(p_size * 24, 384) AS a, 384 // gcd(p_size * 24, 384) AS b FROM part)
+SELECT p_partkey, CASE WHEN a = 1 AND b = 1 THEN '' WHEN a = 1 THEN '/' || b WHEN b = 1 THEN a::VARCHAR ELSE a || '/' || b END AS length FROM r""")
+def note_lengths(spark, sf_dir):
+    """Sizes as sixteenths of a beat, written as ABC lengths."""
+    return table(spark, sf_dir, "part").select("p_partkey", notation.duration_text((F.col("p_size") * 24).cast("long")).alias("length"))
