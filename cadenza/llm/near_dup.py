@@ -1,4 +1,4 @@
-"""SimHash near-duplicate detection with Golay-code fuzzy hashing.
+"""Near-duplicates: SimHash links with Golay-code fuzzy hashing (`find`), and copies by shingle similarity (`keep_one`).
 
 Fingerprints are majority bits of XXH64 hashes of word shingles. Two fingerprints link if they
 differ in at most 4 bits. The 64 bits are dealt to segments of 22, 21 and 21 bits. Of at most 4
@@ -19,7 +19,17 @@ hash, and each two blocks, and each block alone, are searched in a task's group
 of a hot group thus meet in some task of bounded size. Which keys are hot is estimated; this decides
 only where pairs meet, not which.
 
-Defined results: null and empty texts and texts without a word have fingerprint zero and are linked
+`keep_one` takes texts for copies whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more. 64-bit SimHashes of such texts differ in 9 bits on average and often in 15, a radius at which no
+key is both shared and selective. So candidates come from the sets themselves: in any one order of all
+shingles, two sets of similarity s share l among the first n - ceil(s n) + l of each, so a join on these
+loses no pair; l is 1 and a share `MORE` of n, of the lesser set for a pair. The order puts common
+shingles (estimated from one text in 16) last, as they would make large groups; the estimate decides only
+the order. Pairs that share l in groups of at most `SMALL` members, and by length and place can be
+similar, are verified by the exact similarity. Larger groups are searched with their texts, in blocks as
+above, so a pair with a shingle in one of them is found there, whatever it shares elsewhere.
+
+Defined results: null and empty texts and texts without a word have fingerprint zero (and an empty set) and are linked
 like others. Rows with null ids take part; a component's id is the least id that isn't null (null if
 there is none). Repeated rows get the same component. Only key and text are read.
 """
@@ -32,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import golay, ragged
+from . import decontaminate, golay, ragged
 from .components import components
 from .storage import materialize
 
@@ -40,6 +50,8 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Members of a block of a hot key's group, and one fingerprint in how many is counted to find hot keys.
 MEMBERS, COUNTED = 1 << 15, 16
+#: Of `keep_one`: words of a shingle, least similarity, members of a group that puts out its pairs, members of a block of others, most common shingles looked at, and share of a set's size that counts as l.
+WORDS, SIMILARITY, SMALL, BLOCK, COMMON, MORE = 5, 0.8, 32, 2048, 1 << 20, 0.05
 
 
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -208,12 +220,199 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: i
     return table.join(named, "print").select(key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_sets(texts: pa.Array, shingle: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, and the texts' first indices. A text of fewer words is one shingle."""
+    found, sizes = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, _, buf, offsets in ragged.slices(texts):
+        buf = ragged.LOWER[buf]
+        starts, ends, first = ragged.words(buf, offsets)
+        words = ragged.span_hashes(buf, starts, ends)
+        hashes, start = decontaminate.shingle_hashes(words, first, shingle)
+        row = ragged.row_of(start)
+        for k in range(1, shingle):
+            short = np.flatnonzero(np.diff(first) == k)
+            if len(short):
+                own = np.arange(len(short) + 1) * k
+                hashes = np.r_[hashes, decontaminate.shingle_hashes(ragged.gather(words, first[short], np.full(len(short), k)), own, k)[0]]
+                row = np.r_[row, short]
+        order = np.lexsort((hashes, row))
+        hashes, row = hashes[order], row[order]
+        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])][: len(row)]
+        found.append(hashes[new])
+        sizes.append(np.bincount(row[new], minlength=len(first) - 1))
+    return np.concatenate(found), np.cumsum(np.concatenate(sizes))
+
+
+def least_common(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """The least whole number that is `similarity` of each size."""
+    return np.ceil(similarity * sizes - 1e-9).astype(np.int64)
+
+
+def shared_least(sizes: np.ndarray) -> np.ndarray:
+    """The number of shingles (l) that prefixes of similar sets share."""
+    return 1 + (MORE * sizes).astype(np.int64)
+
+
+def prefixes(hashes: np.ndarray, first: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of each set's prefix, common ones last; their rows and their places in the set."""
+    row, size = ragged.row_of(first), np.diff(first)
+    late = np.zeros(len(hashes), bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+    order = np.lexsort((hashes, late, row))
+    place = np.arange(len(hashes)) - first[row]
+    kept = place < (size - least_common(size, similarity) + shared_least(size))[row]
+    return hashes[order][kept], row[kept], place[kept]
+
+
+def _whole_groups(batches):
+    """Columns of rows sorted by their first column, cut only between groups."""
+    held = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))
+        if held and cut == 0 and held[-1][0][-1] == columns[0][-1]:
+            held.append(columns)
+            continue
+        if ready := [*held, [c[:cut] for c in columns]]:
+            yield [np.concatenate(c) for c in zip(*ready, strict=True)]
+        held = [[c[cut:] for c in columns]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _candidates(similarity: float, small: int):
+    """From (key, node, size, place): pairs of small groups that can be similar, how many groups they share and must
+    share; and the members of large groups, with 0 for both."""
+
+    def run(batches):
+        for key, node, size, place in _whole_groups(batches):
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            members = np.diff(np.r_[heads, len(key)])
+            large = np.repeat(members > small, members)
+            pairs = [np.empty((0, 3), np.int64)]
+            for d in range(1, min(int(members.max(initial=1)), small)):
+                at = np.flatnonzero((key[d:] == key[:-d]) & ~large[d:])
+                n, m = size[at], size[at + d]
+                needed = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+                can = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (1 + np.minimum(place[at], place[at + d]) + np.minimum(n - place[at], m - place[at + d]) - 1 >= needed)
+                a, b = node[at[can]], node[at[can] + d]
+                pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b), shared_least(np.minimum(n, m)[can])], 1))
+            pair, times = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+            none = np.zeros(int(large.sum()), np.int64)
+            columns = [np.r_[pair[:, 0], key[large]], np.r_[pair[:, 1], node[large]], np.r_[times, none], np.r_[pair[:, 2], none]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n", "least"])
+
+    return run
+
+
+def similar_links(nodes: np.ndarray, hashes: np.ndarray, first: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the similar sets of one group of distinct nodes, directly or by steps: a forest."""
+    size, left, ends_a, ends_b = np.diff(first), np.arange(len(nodes)), [], []
+    while len(left) > 1:
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            x = frontier.pop()
+            own = hashes[first[x] : first[x + 1]]
+            near = left[np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x]) - 1e-9]
+            flat = ragged.gather(hashes, first[near], size[near])
+            shared = ragged.sums(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat if len(own) else np.zeros(len(flat), bool), np.r_[0, np.cumsum(size[near])])
+            near = near[shared >= similarity * (size[near] + size[x] - shared) - 1e-9]
+            ends_a.append(np.full(len(near), nodes[x]))
+            ends_b.append(nodes[near])
+            frontier += near.tolist()
+            left = left[~np.isin(left, near)]
+    empty = [np.empty(0, np.int64)]
+    return np.concatenate(ends_a or empty), np.concatenate(ends_b or empty)
+
+
+def _search(similarity: float, shingle: int):
+    """Links of large groups, from (key, node, text) sorted by key."""
+
+    def run(batches):
+        for key, node, text in _whole_groups(batches):
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for lo, hi in zip(heads, np.r_[heads[1:], len(key)], strict=True):
+                nodes, at = np.unique(node[lo:hi], return_index=True)
+                hashes, first = shingle_sets(pa.array(text[lo:hi][at], pa.large_string()), shingle)
+                a, b = similar_links(nodes, hashes, first, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _verify(similarity: float, shingle: int):
+    """The pairs (a, b, text_a, text_b) whose sets are similar."""
+
+    def run(batches):
+        for batch in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):
+            (x, i), (y, j) = shingle_sets(batch.column(2), shingle), shingle_sets(batch.column(3), shingle)
+            row, hashes = np.r_[ragged.row_of(i), ragged.row_of(j)], np.r_[x, y]
+            order = np.lexsort((hashes, row))
+            row, hashes = row[order], hashes[order]
+            shared = np.bincount(row[1:][(row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])], minlength=batch.num_rows)
+            alike = shared >= similarity * (np.diff(i) + np.diff(j) - shared) - 1e-9
+            yield batch.select([0, 1]).filter(pa.array(alike))
+
+    return run
+
+
+def copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL, block: int = BLOCK, counted: int = COUNTED) -> DataFrame:
+    """The least key of each component of texts whose shingle sets are similar, in the column component_id."""
+    spark = docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+
+    def sign(batches):
+        for batch in (whole.slice(lo, 1024) for whole in batches for lo in range(0, whole.num_rows, 1024)):
+            hashes, first = shingle_sets(batch.column(1), shingle)
+            blob, ends = hashes.tobytes(), (first * 8).tolist()
+            nodes = np.fromiter((xxhash.xxh3_64_intdigest(blob[a:b]) for a, b in zip(ends, ends[1:], strict=False)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes.view(np.int64)), pa.array(np.diff(first))], names=["least", "text", "node", "size"])
+
+    signed = docs.select(F.col(key).alias("least"), F.col(text).alias("text")).mapInArrow(sign, f"least {kind}, text string, node long, size long")
+    distinct = materialize(signed.groupBy("node").agg(F.min("least").alias("least"), F.first("size").alias("size"), F.first("text").alias("text")), "distinct")
+
+    def spread(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column(0), shingle)[0].view(np.int64))], names=["key"])
+
+    some = distinct.where(F.pmod(F.xxhash64("node"), F.lit(counted)) == 0).select("text").mapInArrow(spread, "key long")
+    often = some.groupBy("key").count().where("count > 1").orderBy(F.desc("count")).limit(COMMON).select("key").toArrow()
+    common = spark.sparkContext.broadcast(np.sort(often.column(0).to_numpy().view(np.uint64)))
+
+    def deal_out(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                hashes, row, place = prefixes(*shingle_sets(part.column(1), shingle), common.value, similarity)
+                node, size = part.column(0).to_numpy(), part.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(node[row]), pa.array(size[row].astype(np.int32)), pa.array(place.astype(np.int32))], names=["key", "node", "size", "place"])
+
+    keyed = distinct.select("node", "text", "size").mapInArrow(deal_out, "key long, node long, size int, place int")
+    rows = distinct.agg(F.sum(F.ceil(F.col("size") * (1 - similarity + MORE)) + 1).alias("n")).first().n or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows // 1_000_000)
+    found = materialize(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_candidates(similarity, small), "a long, b long, n long, least long"), "candidates")
+    texts, texts_b = distinct.select(F.col("node").alias("a"), F.col("text").alias("text_a")), distinct.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    enough = materialize(found.where("least > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("least").alias("least")).where("n >= least").select("a", "b"), "pairs")
+    pairs = enough.join(texts, "a").join(texts_b, "b").select("a", "b", "text_a", "text_b")
+    links = pairs.mapInArrow(_verify(similarity, shingle), "a long, b long")
+    members = found.where("least = 0").select(F.col("a").alias("key"), F.col("b").alias("print"))
+    if not members.isEmpty():
+        counts = members.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks"))
+        dealt = deal(members, materialize(counts, "hot-keys")).join(texts.withColumnRenamed("a", "print"), "print").select("key", "print", "text_a")
+        links = links.union(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_search(similarity, shingle), "a long, b long"))
+    roots = components(links)
+    return distinct.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("component_id")).select("component_id")
+
+
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that with the component's id, with all columns. Rows that share an id stay once
+    """One row of each component of similar texts, that with the component's id, with all columns. Rows that share an id stay once
     for each distinct text. A row with a null id stands for its group only if no row of it has an id; its text's
     hash then serves as one."""
     stand_in = F.lit(1 << 62) + F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND((1 << 61) - 1)
     rows = docs.withColumn("__near_dup_id", F.coalesce(F.col(key).cast("long"), stand_in))
-    found = find(rows, key="__near_dup_id", text=text).select(F.col("component_id").alias("__near_dup_id")).distinct()
+    found = copies(rows, key="__near_dup_id", text=text).select(F.col("component_id").alias("__near_dup_id")).distinct()
     kept = rows.join(found, "__near_dup_id", "left_semi").withColumn("__near_dup_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     return kept.dropDuplicates(["__near_dup_id", "__near_dup_hash"]).select(*(F.col(f"`{c}`") for c in docs.columns))

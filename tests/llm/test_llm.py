@@ -118,6 +118,49 @@ def test_blocks_of_a_hot_group_are_bounded_and_meet_each_other(spark):
     assert len({(a, b) for g in groups.values() for a in g for b in g if a < b}) == 300 * 299 // 2
 
 
+def brute_copies(rows):
+    """Ids of one row of each group of texts with a Jaccard similarity of five-word shingles of 0.8 or more."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a == sets[j] or (both and 5 * both >= 4 * (len(a) + len(sets[j]) - both)):
+                parent[root(i)] = root(j)
+    groups = {}
+    for i, (x, _) in enumerate(rows):
+        groups.setdefault(root(i), []).append(x)
+    return sorted(map(min, groups.values()))
+
+
+def test_near_dedup_stage_equals_brute_force_similarity(spark, documents):
+    """Copies on both sides of 0.8, far apart as SimHashes; again with every group cut into blocks."""
+    rng = np.random.default_rng(8)
+    rows = [*documents, (9000, None), (9001, ""), (9002, "two words"), (9003, "Two  WORDS")]
+    for i, t in documents[:60]:
+        w = WORD.findall(t)
+        for k in (1, 2):
+            for at in rng.choice(len(w), min(len(w), max(1, round(len(w) * rng.uniform(0.01, 0.04)))), replace=False):
+                w[at] = f"other{at}"
+            rows.append((10_000 * k + i, " ".join(w)))
+    prints = {i: brute_print(t) for i, t in rows}
+    expected = brute_copies(rows)
+    gone = {i for i, _ in rows} - set(expected)
+    assert sum(i >= 10_000 and (prints[i] ^ prints[i % 10_000]).bit_count() > 4 for i in gone) > 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dup.keep_one(df).collect()) == expected
+    assert sorted(r.component_id for r in near_dup.copies(df, small=1, block=2, counted=1).collect()) == expected
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
