@@ -2,10 +2,12 @@
 
 Base kinds are fixed patterns (assign, access, hex). Their values in the corpus, labelled with
 their kind, and credentials built from published formats are the training strings. For each
-label a probabilistic automaton is inferred; every candidate, a run of credential characters
-with a digit and a letter, is scored by its format likelihood: its log probability a symbol,
-against that under an automaton of ordinary tokens. Candidates above the label's threshold, set
-from its own strings, give added spans. Base spans always stay.
+label a probabilistic automaton is inferred; every candidate is scored by its format likelihood
+under each: its log probability a symbol, against that under an automaton of ordinary tokens, where
+a symbol that an automaton never saw costs a floor. Candidates are runs of credential characters
+with a digit and a letter, their parts between = and /, and what starts with a published prefix
+anywhere in them. Candidates above the label's threshold, set from its own strings, give added
+spans; of those that overlap, the one furthest above. Base spans always stay.
 
 The training strings of a label are a bounded sample: the `per_label` distinct values of the
 corpus with the smallest hashes. Scanning covers every character of every text.
@@ -66,13 +68,24 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+_PREFIXED = [re.compile(f"{re.escape(prefix)}[{re.escape(alphabet)}]+") for _, prefix, alphabet, _ in FORMATS]
+
+
 def candidates(text: str) -> Iterable[tuple[int, int, str]]:
-    """Runs of credential characters that mix letters and digits."""
+    """Runs of credential characters that mix letters and digits, their parts between = and /, and what follows a published prefix."""
     for m in CANDIDATE.finditer(text):
-        value = m[0].strip("=/-+")
-        if len(value) >= 20 and re.search("[0-9]", value) and re.search("[A-Za-z]", value):
-            start = m.start() + m[0].index(value)
-            yield start, start + len(value), value
+        parts = {m.span()}
+        for separators in ("=", "=/"):
+            parts |= {(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(f"[^{separators}]+", m[0])}
+        parts |= {p.span() for prefixed in _PREFIXED for p in prefixed.finditer(text, *m.span())}
+        found = set()
+        for start, end in parts:
+            value = text[start:end].lstrip("=/-+")
+            start = end - len(value)
+            value = value.rstrip("=/-+")
+            if len(value) >= 20 and re.search("[0-9]", value) and re.search("[A-Za-z]", value):
+                found.add((start, start + len(value), value))
+        yield from sorted(found)
 
 
 _CREDENTIAL_BYTE = np.isin(np.arange(256), list((_ALNUM + "+/_=-").encode()))
@@ -128,8 +141,9 @@ class Grammar:
         return (self.automata[label][0].log_likelihood(value) - self.ordinary.log_likelihood(value)) / (len(value) + 1)
 
     def best(self, value: str) -> tuple[float, str] | None:
-        """The label that exceeds its threshold by most, among those whose automaton can make the string, if any does."""
-        margin, label = max(((self.score(x, value) - t, x) for x, (a, t) in self.automata.items() if a.generates(value)), default=(-1, ""))
+        """The label that exceeds its threshold by most, if any does."""
+        ordinary = self.ordinary.log_likelihood(value)
+        margin, label = max((((a.log_likelihood(value) - ordinary) / (len(value) + 1) - t, x) for x, (a, t) in self.automata.items()), default=(-1, ""))
         return (margin, label) if margin >= 0 else None
 
 
@@ -155,11 +169,14 @@ def train(labelled: dict[str, list[str]], *, miss: float = 0.02, slack: float =
 def find_spans(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int, float]]]:
     """Base spans (start, kind number, end) and added spans (start, label, end, margin) that don't overlap them."""
     base = [(a, k, b) for a, k, b, _ in base_spans(text)]
-    added = []
+    hits, added = [], []
     for start, end, value in candidates(text):
         if not any(a < end and start < b for a, _, b in base) and (hit := grammar.best(value)):
-            added.append((start, hit[1], end, hit[0]))
-    return base, added
+            hits.append((start, hit[1], end, hit[0]))
+    for hit in sorted(hits, key=lambda x: (-x[3], x[0], -x[2])):
+        if not any(a < hit[2] and hit[0] < b for a, _, b, _ in added):
+            added.append(hit)
+    return base, sorted(added)
 
 
 def scan(docs: DataFrame, grammar: Grammar, *, key: str = "doc_id", text: str = "text") -> DataFrame:

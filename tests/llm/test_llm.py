@@ -246,6 +246,19 @@ def test_secret_spans(spark):
     assert out[1].text == "é [SECRET]' [SECRET] [SECRET] API_KEY: abc" and out[2].text is None and out[3].text == "plain"
 
 
+def test_secrets_joined_to_names_and_paths():
+    grammar = secret_scan.train(secret_scan.published_credentials())
+    rng = np.random.default_rng(9)
+    for label, prefix, _, length in secret_scan.FORMATS:
+        for _ in range(5):
+            key = prefix + "".join(rng.choice(list(secret_scan._ALNUM), length))
+            for before, after in (("", ""), ("GITHUB_PAT=", ""), ("keys/", ""), ("my_", ""), ("see https://a.b/c-1/d=", " there")):
+                text = before + key + after
+                assert [text[a:b] for a, x, b, _ in secret_scan.find_spans(text, grammar)[1] if x == label] == [key], text
+    for token in secret_scan._ordinary_tokens(900)[600:]:
+        assert secret_scan.find_spans(f"x/{token}=a_{token}", grammar)[1] == [], token
+
+
 def test_sentencepiece_parity_with_the_library(documents):
     texts = [t for _, t in documents[:80]] + [t or "" for t in ODD] + ["  a  b ", "▁x", " ", "　 x", "<s>a</s>", "日本語 🎵"]
     path = public_tokenizers.path("piece_bpe_32k.model")
