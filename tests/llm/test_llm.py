@@ -297,6 +297,21 @@ def test_lm_is_normalised_and_joins_beyond_the_head(spark, documents):
     assert all(few[i].base_score == pytest.approx(all_[i].base_score) and few[i].score == pytest.approx(all_[i].score, rel=1e-4) for i, _ in documents)
 
 
+def test_lm_classes_grow_and_all_words_have_vectors(spark, monkeypatch):
+    """Classes beyond the core learn who follows whom; before, they were one class with counts alone."""
+    words = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 900).tolist()
+    for times, size, hashed in ((1, 1024, 1), (10_000, 3000, 750)):
+        vocab = lm_score.vocabulary(spark.createDataFrame([(w, times) for w in words], "word long, n long"), head=500)
+        assert vocab.size == min(len(vocab.words), size - hashed) + hashed
+        assert len(np.unique(vocab.class_of(np.full(5000, -1), np.arange(5000, dtype=np.uint64)))) == hashed
+    monkeypatch.setattr(lm_score, "CORE", 8)
+    pairs = [(a, b, 200 if b % 4 == (a + 1) % 4 else 2) for a in range(60) for b in range(60)]
+    model = lm_score.learn_model(spark.createDataFrame(pairs, "a long, b long, n long"), 60, steps=120)
+    logs = model.log_probabilities()
+    assert np.allclose(np.exp(logs).sum(1), 1) and np.allclose(logs, model.scores(np.arange(60)) - model.normalisers()[:, None], atol=1e-4)
+    assert sum(n * logs[a, b] for a, b, n in pairs) / sum(n for *_, n in pairs) > -np.log(60) + 0.7
+
+
 def test_pii_equals_its_sql(spark, odd):
     con = views(SF)
     names = [c[0] for c in con.execute(f"DESCRIBE {pii.ORACLE}").fetchall()]
