@@ -10,7 +10,7 @@ anywhere in them. Candidates above the label's threshold, set from its own strin
 spans; of those that overlap, the one furthest above. Base spans always stay.
 
 The training strings of a label are a bounded sample: the `per_label` distinct values of the
-corpus with the smallest hashes. Scanning covers every character of every text.
+corpus with the smallest hashes, of those of at most 256 characters. Scanning covers every character of every text.
 
 Defined results: null is the empty text and has no span. Positions are code points, ends
 exclusive. Repeated rows give repeated results. An empty table leaves the published formats.
