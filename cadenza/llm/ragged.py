@@ -32,13 +32,22 @@ _BASE, _BASE_INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _made_powers(n: int) -> list[np.ndarray]:
+    out = []
+    for base in (_BASE, _BASE_INVERSE):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and its inverse; at most 2^20 of each are kept."""
+    if n > 1 << 20:
+        up, down = _made_powers(n)
+        return up, down
     if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
+        _powers[:] = _made_powers(min(max(2 * n, 1 << 16), 1 << 20))
     return _powers[0][:n], _powers[1][:n]
 
 
