@@ -28,8 +28,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    grammar = secret_scan.train(secret_scan.published_credentials() | secret_scan.labelled_credentials(docs))
-    return secret_scan.scan(docs, grammar)
+    return secret_scan.scan(docs, secret_scan.learn(docs))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,25 @@
 """Secret scans: base patterns, and automata inferred from labelled credentials.
 
-Base kinds are fixed patterns (assign, access, hex). Their values in the corpus, labelled with
-their kind, and credentials built from published formats are the training strings. For each
-label a probabilistic automaton is inferred; every candidate is scored by its format likelihood
-under each: its log probability a symbol, against that under an automaton of ordinary tokens, where
-a symbol that an automaton never saw costs a floor. Candidates are runs of credential characters
-with a digit and a letter, their parts between = and /, and what starts with a published prefix
-anywhere in them. Candidates above the label's threshold, set from its own strings, give added
-spans; of those that overlap, the one furthest above. Base spans always stay.
-
-The training strings of a label are a bounded sample: the `per_label` distinct values of the
-corpus with the smallest hashes, of those of at most 256 characters. Scanning covers every character of every text.
-
-Defined results: null is the empty text and has no span. Positions are code points, ends
-exclusive. Repeated rows give repeated results. An empty table leaves the published formats.
-Columns other than key and text are not read by the scan.
+Base kinds are fixed patterns (assign, access, hex). Their values in the corpus, labelled by the context they
+stand in, and credentials built from published formats (`opaque`: random strings of usual alphabets and
+no fixed format) are the training strings. For each label a probabilistic automaton is inferred. Every
+candidate, a run of `LEAST` credential characters or more, each of its parts between = and /, and what starts
+with a published prefix in it, is scored under all automata: the log likelihood ratio a symbol of the label
+against ordinary text. Ordinary text is the likelier of a Markov chain, counted over all shorter runs of the
+whole corpus outside base spans together with made-up names, paths and dates, and of automata of numbers, UUIDs
+and timestamps. A label's threshold is what its strings reach when the automaton learned from the other half,
+and not below what ordinary tokens reach. Candidates above a threshold give added spans unless they overlap a
+base span; of those that overlap each other, the one whose ratios sum to most above the threshold, then the
+first, then the longest. Base spans always stay.
+
+The training strings are a bounded sample: of each kind's values of at most `longest` symbols, the least hash in
+each of `buckets` buckets for each length, so a frequent format doesn't crowd out a rare one, and of these the
+`per_label` least hashes. Scanning covers every character of every text.
+
+Defined results: null is the empty text and has no span. Positions are code points, ends exclusive. Repeated
+rows give repeated results. An empty table leaves the published formats. Texts of any length are scanned in
+time proportional to their length. Columns other than key and text are not read by the scan, so their
+names don't matter.
 """
 
 from __future__ import annotations
@@ -23,17 +28,20 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left, insort
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
 from .automata import Automaton, infer
-from .storage import materialize
+from .storage import discard, map_batches, materialize
 
 #: Base kinds in order, their patterns (ASCII letters of the names in either case) and least lengths.
 BASE_KINDS = ("assign", "access", "hex")
@@ -42,19 +50,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
-#: Published credential formats as (label, prefix, alphabet, length after the prefix).
+#: Published credential formats as (label, prefix, alphabets and lengths of what follows it).
 _ALNUM, _UPPER = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
 FORMATS = (
-    ("github", "ghp_", _ALNUM, 36),
-    ("gitlab", "glpat-", _ALNUM + "_-", 20),
-    ("slack", "xoxb-", string.digits + "-" + _ALNUM, 48),
-    ("stripe", "sk_live_", _ALNUM, 24),
-    ("google", "AIza", _ALNUM + "_-", 35),
-    ("jwt", "eyJ", _ALNUM + "_-", 60),
-    ("npm", "npm_", _ALNUM, 36),
+    ("github", "ghp_", ((_ALNUM, 36),)),
+    ("gitlab", "glpat-", ((_ALNUM + "_-", 20),)),
+    ("slack", "xoxb-", ((string.digits, 12), ("-", 1), (string.digits, 12), ("-", 1), (_ALNUM, 24))),
+    ("stripe", "sk_live_", ((_ALNUM, 24),)),
+    ("google", "AIza", ((_ALNUM + "_-", 35),)),
+    ("jwt", "eyJ", ((_ALNUM + "_-", 60),)),
+    ("npm", "npm_", ((_ALNUM, 36),)),
 )
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Fewest symbols of a candidate.
+LEAST = 16
+CANDIDATE = re.compile(f"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -68,11 +78,11 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-_PREFIXED = [re.compile(f"{re.escape(prefix)}[{re.escape(alphabet)}]+") for _, prefix, alphabet, _ in FORMATS]
+_PREFIXED = [re.compile(re.escape(prefix) + f"[{re.escape(''.join(sorted(set().union(*(x for x, _ in parts)))))}]+") for _, prefix, parts in FORMATS]
 
 
 def candidates(text: str) -> Iterable[tuple[int, int, str]]:
-    """Runs of credential characters that mix letters and digits, their parts between = and /, and what follows a published prefix."""
+    """Runs of credential characters, their parts between = and /, and what follows a published prefix."""
     for m in CANDIDATE.finditer(text):
         parts = {m.span()}
         for separators in ("=", "=/"):
@@ -83,7 +93,7 @@ def candidates(text: str) -> Iterable[tuple[int, int, str]]:
             value = text[start:end].lstrip("=/-+")
             start = end - len(value)
             value = value.rstrip("=/-+")
-            if len(value) >= 20 and re.search("[0-9]", value) and re.search("[A-Za-z]", value):
+            if len(value) >= LEAST:
                 found.add((start, start + len(value), value))
         yield from sorted(found)
 
@@ -93,13 +103,13 @@ _NAME = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]",
 
 
 def suspicious(texts: pa.Array) -> np.ndarray:
-    """Texts that can have a span at all: those with a run of 20 credential bytes (which access keys, long hex
+    """Texts that can have a span at all: those with a run of `LEAST` credential bytes (which access keys, long hex
     strings and candidates are), or a named assignment. Runs over a text's border flag too much, never too little."""
     out = []
     for _, _, buf, offsets in ragged.slices(texts):
         flag = np.zeros(len(offsets) - 1, bool)
         stops = np.r_[-1, np.flatnonzero(~_CREDENTIAL_BYTE[buf]), len(buf)]
-        for k in np.flatnonzero(np.diff(stops) > LEAST_ACCESS):
+        for k in np.flatnonzero(np.diff(stops) > LEAST):
             lo, hi = np.searchsorted(offsets, (stops[k] + 1, stops[k + 1] - 1), "right") - 1
             flag[lo : hi + 1] = True
         for k in np.flatnonzero(~flag & (ragged.sums((buf == 0x3A) | (buf == 0x3D), offsets) > 0)):
@@ -109,97 +119,215 @@ def suspicious(texts: pa.Array) -> np.ndarray:
 
 
 def published_credentials(per_format: int = 200) -> dict[str, list[str]]:
-    """Strings of the published formats, the same ones each time."""
+    """Strings of the published formats and of none (`opaque`), the same ones each time."""
     rng = random.Random(20)
-    return {label: [prefix + "".join(rng.choices(alphabet, k=length)) for _ in range(per_format)] for label, prefix, alphabet, length in FORMATS}
+    found = {label: [prefix + "".join("".join(rng.choices(x, k=n)) for x, n in parts) for _ in range(per_format)] for label, prefix, parts in FORMATS}
+    found["opaque"] = ["".join(rng.choices(_ALNUM + rng.choice(("", "+/", "_-")), k=rng.randint(LEAST, 64))) for _ in range(4 * per_format)]
+    for label, alphabet in (("opaque_lower", string.ascii_lowercase + string.digits), ("opaque_upper", _UPPER)):
+        found[label] = ["".join(rng.choices(alphabet, k=rng.randint(LEAST, 64))) for _ in range(2 * per_format)]
+    return found
 
 
-def labelled_credentials(docs: DataFrame, *, text: str = "text", per_label: int = 400) -> dict[str, list[str]]:
-    """Distinct base values of the corpus by kind: for each kind the `per_label` with the smallest hashes."""
+def _ordinary_tokens(count: int = 600) -> list[str]:
+    """Tokens that aren't secrets: joined words, paths, dates and numbered names, from a fixed generator."""
+    rng = random.Random(21)
+    part = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    kinds = [lambda: "-".join(part() for _ in range(rng.randint(2, 6))) + f"-{rng.randint(1, 2030)}", lambda: "/".join(part().capitalize() for _ in range(4)) + f"/{rng.randint(1, 99)}", lambda: "_".join(part() for _ in range(4)) + f"_{rng.randint(0, 9)}", lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}-{part()}", lambda: f"{part().upper()}{rng.randint(10, 99999)}{part()}{part()}", lambda: "".join(part().capitalize() for _ in range(4)), lambda: "_".join(part().upper() for _ in range(4)), lambda: "=" * rng.randint(16, 60), lambda: "-" * rng.randint(16, 60)]
+    return [rng.choice(kinds)() for _ in range(count)]
+
+
+def _ordinary_shapes(count: int = 200) -> list[list[str]]:
+    """Numbers, UUIDs and timestamps."""
+    rng = random.Random(22)
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    kinds = (lambda: "".join(rng.choices(string.digits, k=rng.randint(16, 40))), lambda: "-".join(map(hexes, (8, 4, 4, 4, 12))), lambda: f"20{rng.randint(0, 39):02}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}-{rng.randint(0, 59):02}-{rng.randint(0, 59):02}Z")
+    return [[kind() for _ in range(count)] for kind in kinds]
+
+
+_SYMBOLS = sorted({*_ALNUM, *"+/_=-"})
+_EDGE = 0  # what stands for the border of a run
+
+
+def _bigrams(buf: np.ndarray) -> np.ndarray:
+    """Counts of byte pairs within runs of credential bytes shorter than `LEAST`, with _EDGE around them."""
+    inside = _CREDENTIAL_BYTE[buf]
+    stops = np.r_[-1, np.flatnonzero(~inside), len(buf)]
+    long = np.flatnonzero(np.diff(stops) > LEAST)
+    x = np.where(inside, buf, _EDGE).astype(np.int64)
+    for k in long:
+        x[stops[k] + 1 : stops[k + 1]] = _EDGE
+    x = np.r_[_EDGE, x, _EDGE]
+    return np.bincount(x[:-1] << 8 | x[1:], minlength=1 << 16)
+
+
+@dataclass
+class Ordinary:
+    """The log probability of a symbol after each, and automata of shapes; a text is scored by the likeliest of them."""
+
+    steps: dict[str, dict[str, float]]
+    shapes: list[Automaton]
+
+    @classmethod
+    def fit(cls, counts: np.ndarray | None = None, *, mass: float = 50_000.0, prior: float = 20.0) -> Ordinary:
+        """From counts of byte pairs, which weigh `mass` pairs, and the made-up tokens; `prior` pairs of each symbol follow the shares of all."""
+        made = sum(_bigrams_of(t) for t in _ordinary_tokens()).astype(float)
+        if counts is not None and counts.sum():
+            made += counts * (mass / counts.sum())
+        at = np.array([_EDGE, *map(ord, _SYMBOLS)])
+        made = made.reshape(256, 256)[np.ix_(at, at)]
+        made[0, 0] = 0
+        share = (made.sum(0) + 0.5) / (made.sum() + 0.5 * len(at))
+        logs = np.log((made + prior * share) / (made.sum(1, keepdims=True) + prior))
+        names = ["", *_SYMBOLS]
+        return cls({a: dict(zip(names, row, strict=True)) for a, row in zip(names, logs.tolist(), strict=True)}, [infer(x) for x in _ordinary_shapes()])
+
+    def log_likelihood(self, text: str) -> float:
+        before, total, steps = "", 0.0, self.steps
+        for symbol in text:
+            total += steps[before][symbol]
+            before = symbol
+        return max(total + steps[before][""], *(a.log_likelihood(text) for a in self.shapes))
+
+
+def _bigrams_of(token: str) -> np.ndarray:
+    x = np.r_[_EDGE, np.frombuffer(token.encode(), np.uint8), _EDGE].astype(np.int64)
+    return np.bincount(x[:-1] << 8 | x[1:], minlength=1 << 16)
+
+
+def harvest(docs: DataFrame, *, text: str = "text", per_label: int = 400, longest: int = 256, buckets: int = 128) -> tuple[dict[str, list[str]], np.ndarray]:
+    """Of the corpus: a sample of each base kind's values, and the counts of byte pairs of ordinary runs over all texts."""
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
 
-    def harvest(batches):
+    def gather(batches):
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            part = batch.column(0).filter(pa.array(suspicious(batch.column(0)))).to_pylist()
-            found = {(BASE_KINDS[k], value) for t in part for _, k, _, value in base_spans(t) if len(value) <= 256}
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["label", "value"])
-
-    values = rows.mapInArrow(harvest, "label string, value string").distinct().withColumn("h", F.xxhash64("value"))
-    values = materialize(values, "credentials")
-    return {kind: [r.value for r in values.where(F.col("label") == kind).orderBy("h", "value").limit(per_label).collect()] for kind in BASE_KINDS}
+            texts = batch.column(0)
+            flags, found = suspicious(texts), set()
+            for lo, hi, buf, offsets in ragged.slices(texts):
+                plain = buf.copy()
+                for k in np.flatnonzero(flags[lo:hi]):
+                    a, b = offsets[k], offsets[k + 1]
+                    spans = base_spans(texts[int(lo + k)].as_py())
+                    found |= {(BASE_KINDS[x], value) for _, x, _, value in spans if len(value) <= longest}
+                    if spans:  # the values' bytes, wherever they stand in this text, aren't ordinary
+                        whole = plain[a:b].tobytes()
+                        for _, _, _, value in spans:
+                            whole = whole.replace(value.encode(), b" " * len(value.encode()))
+                        plain[a:b] = np.frombuffer(whole, np.uint8)
+                ends = offsets[1:-1][offsets[1:-1] < len(plain)]
+                total += _bigrams(np.insert(plain, ends, 0x20))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string()), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.int64())], names=["label", "value", "cell", "n"])
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.nulls(len(full), pa.string()), pa.array(full, pa.int32()), pa.array(total[full])], names=["label", "value", "cell", "n"])
+
+    got = materialize(map_batches(rows, gather, "label string, value string, cell int, n long"), "credentials")
+    h = F.xxhash64("value")
+    sample = got.where("value is not null").groupBy("label", F.length("value"), F.pmod(h, F.lit(buckets))).agg(F.min(F.struct(h.alias("h"), F.col("value"))).alias("x")).select("label", "x.h", "x.value")
+    labelled = {kind: [r.value for r in sample.where(F.col("label") == kind).orderBy("h", "value").limit(per_label).collect()] for kind in BASE_KINDS}
+    counts, cells = np.zeros(1 << 16, np.int64), got.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+    discard(got)
+    return labelled, counts
 
 
 @dataclass
 class Grammar:
-    """An automaton and a threshold for each label, and the automaton of ordinary tokens."""
+    """An automaton and a threshold for each label, and the model of ordinary text."""
 
     automata: dict[str, tuple[Automaton, float]]
-    ordinary: Automaton
-
-    def score(self, label: str, value: str) -> float:
-        """Format likelihood: log probability a symbol, less that of an ordinary token."""
-        return (self.automata[label][0].log_likelihood(value) - self.ordinary.log_likelihood(value)) / (len(value) + 1)
+    ordinary: Ordinary
 
-    def best(self, value: str) -> tuple[float, str] | None:
-        """The label that exceeds its threshold by most, if any does."""
-        ordinary = self.ordinary.log_likelihood(value)
-        margin, label = max((((a.log_likelihood(value) - ordinary) / (len(value) + 1) - t, x) for x, (a, t) in self.automata.items()), default=(-1, ""))
-        return (margin, label) if margin >= 0 else None
+    def best(self, value: str) -> tuple[float, float, str]:
+        """Of the label that exceeds its threshold by most (the first by name of equals): by how much a symbol and in sum, and its name."""
+        ordinary, n = self.ordinary.log_likelihood(value), len(value) + 1
+        margin, label = max(((a.log_likelihood(value) - ordinary) / n - t, x) for x, (a, t) in sorted(self.automata.items(), reverse=True)) if self.automata else (-np.inf, "")
+        return margin, margin * n, label
 
 
-def _ordinary_tokens(count: int = 600) -> list[str]:
-    """Tokens that aren't secrets: joined words, paths, dates and numbered names, from a fixed generator."""
-    rng = random.Random(21)
-    part = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
-    kinds = [lambda: "-".join(part() for _ in range(rng.randint(2, 6))) + f"-{rng.randint(1, 2030)}", lambda: "/".join(part().capitalize() for _ in range(4)) + f"/{rng.randint(1, 99)}", lambda: "_".join(part() for _ in range(4)) + f"_{rng.randint(0, 9)}", lambda: f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}-{part()}", lambda: f"{part().upper()}{rng.randint(10, 99999)}{part()}{part()}"]
-    return [rng.choice(kinds)() for _ in range(count)]
+@lru_cache(maxsize=64)
+def _inferred(values: tuple[str, ...]) -> tuple[Automaton, Automaton]:
+    """The automaton of all strings, and that of every other one."""
+    return infer(values), infer(values[::2])
 
 
-def train(labelled: dict[str, list[str]], *, miss: float = 0.02, slack: float = 0.1) -> Grammar:
-    """Infer all automata; a label's threshold is `slack` below what the share `miss` of its own strings falls short of, not below zero."""
-    out = Grammar({}, infer(_ordinary_tokens()))
+def train(labelled: dict[str, list[str]], ordinary: np.ndarray | None = None, *, miss: float = 0.02, slack: float = 0.1, false: float = 0.002) -> Grammar:
+    """Infer all automata. A label's threshold is `slack` below what the share `miss` of its strings falls short of by the
+    automaton of the others, but not below zero, nor below what the share `false` of ordinary tokens exceeds."""
+    out = Grammar({}, Ordinary.fit(ordinary))
+    plain = [t for t in _ordinary_tokens(1500)[600:] if len(t) >= LEAST] + [t for shape in _ordinary_shapes(400) for t in shape[200:]]
+    against = [out.ordinary.log_likelihood(t) for t in plain]
     for label, values in sorted(labelled.items()):
         if values:
-            out.automata[label] = infer(values), -1e9
-            own = sorted(out.score(label, v) for v in values)
-            out.automata[label] = out.automata[label][0], max(own[int(miss * len(own))] - slack, 0.0)
+            whole, half = _inferred(tuple(values))
+            own = sorted((half.log_likelihood(v) - out.ordinary.log_likelihood(v)) / (len(v) + 1) for v in values[1::2] or values)
+            wrong = sorted((whole.log_likelihood(t) - o) / (len(t) + 1) for t, o in zip(plain, against, strict=True))
+            out.automata[label] = whole, max(own[int(miss * len(own))] - slack, wrong[int((1 - false) * len(wrong))] + 1e-9, 0.0)
     return out
 
 
-def find_spans(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int, float]]]:
-    """Base spans (start, kind number, end) and added spans (start, label, end, margin) that don't overlap them."""
+def learn(docs: DataFrame, *, text: str = "text") -> Grammar:
+    """The grammar of the published formats and of the corpus."""
+    labelled, ordinary = harvest(docs, text=text)
+    return train(published_credentials() | labelled, ordinary)
+
+
+def find_spans(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int, float]], list[float]]:
+    """Base spans (start, kind number, end), added spans (start, label, end, margin) that don't overlap them, and the margins of all candidates."""
     base = [(a, k, b) for a, k, b, _ in base_spans(text)]
-    hits, added = [], []
+    covered = _merged((a, b) for a, _, b in base)
+    hits, margins = [], []
     for start, end, value in candidates(text):
-        if not any(a < end and start < b for a, _, b in base) and (hit := grammar.best(value)):
-            hits.append((start, hit[1], end, hit[0]))
-    for hit in sorted(hits, key=lambda x: (-x[3], x[0], -x[2])):
-        if not any(a < hit[2] and hit[0] < b for a, _, b, _ in added):
-            added.append(hit)
-    return base, sorted(added)
+        margin, total, label = grammar.best(value)
+        margins.append(margin)
+        if margin >= 0 and not _overlaps(covered, start, end):
+            hits.append((-total, start, -end, label, margin))
+    added: list[tuple[int, str, int, float]] = []
+    taken: list[tuple[int, int]] = []
+    for _, start, end, label, margin in sorted(hits):
+        if not _overlaps(taken, start, -end):
+            insort(taken, (start, -end))
+            added.append((start, label, -end, margin))
+    return base, sorted(added), margins
+
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans as sorted spans that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of sorted spans that don't overlap each other overlaps [start, end)."""
+    at = bisect_left(spans, (end, -1))
+    return at > 0 and spans[at - 1][1] > start
 
 
 def scan(docs: DataFrame, grammar: Grammar, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: key, n_assign, n_access, n_hex, base_sha256, spans, n_added and best_margin."""
+    """One row per input row: key, n_assign, n_access, n_hex, base_sha256, spans, n_added, n_candidates and best_margin (of all candidates, null without one)."""
     rows, shared = docs.select(F.col(key), F.col(text).alias("__text")), docs.sparkSession.sparkContext.broadcast(grammar)
-    names = [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added", "best_margin"]
-    clean = (0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0, None)
+    names = [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added", "n_candidates", "best_margin"]
+    clean = (0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0, 0, None)
 
     def describe(t):
-        base, added = find_spans(t, shared.value)
+        base, added, margins = find_spans(t, shared.value)
         told = [f"{BASE_KINDS[k]}:{a}:{b}" for a, k, b in base]
         both = sorted([(a, k, f"{BASE_KINDS[k]}:{a}:{b}") for a, k, b in base] + [(a, len(BASE_KINDS), f"{label}:{a}:{b}") for a, label, b, _ in added])
-        return (*(sum(x == k for _, x, _ in base) for k in range(3)), hashlib.sha256(",".join(told).encode()).hexdigest(), ",".join(x for *_, x in both), len(added), max((m for *_, m in added), default=None))
+        return (*(sum(x == k for _, x, _ in base) for k in range(3)), hashlib.sha256(",".join(told).encode()).hexdigest(), ",".join(x for *_, x in both), len(added), len(margins), max(margins, default=None))
 
     def run(batches):
         for batch in batches:
             texts, out = batch.column(1), [clean] * batch.num_rows
             for k in np.flatnonzero(suspicious(texts)):
-                out[k] = describe(texts[k].as_py())
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True))], names=names)
+                out[k] = describe(texts[int(k)].as_py())
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [()] * 8, kinds, strict=True))], names=names)
 
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long, best_margin double")
+    return map_batches(rows, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long, n_candidates long, best_margin double")
 
 
 def redact(docs: DataFrame, grammar: Grammar, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -207,24 +335,22 @@ def redact(docs: DataFrame, grammar: Grammar, *, text: str = "text", mark: str =
     at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(grammar)
 
     def clean(t):
-        base, added = find_spans(t, shared.value)
+        base, added, _ = find_spans(t, shared.value)
         out, done = [], 0
-        for a, b in sorted([(a, b) for a, _, b in base] + [(a, b) for a, _, b, _ in added]):
-            if a >= done:
-                out += [t[done:a], mark]
-            done = max(done, b)
+        for a, b in _merged([(a, b) for a, _, b in base] + [(a, b) for a, _, b, _ in added]):
+            out += [t[done:a], mark]
+            done = b
         return "".join([*out, t[done:]])
 
     def run(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):  # small pieces, as their texts become Python strings
-                batch = whole.slice(lo, 512)
-                flags = suspicious(batch.column(at))
-                if flags.any():
-                    texts = batch.column(at).to_pylist()
-                    for k in np.flatnonzero(flags):
-                        texts[k] = clean(texts[k])
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                yield batch
-
-    return docs.mapInArrow(run, docs.schema)
+        for batch in batches:
+            texts = batch.column(at)
+            changed = {int(k): new for k in np.flatnonzero(suspicious(texts)) if (new := clean(old := texts[int(k)].as_py())) != old}
+            if changed:  # texts without a secret stay in their buffer
+                mask = np.zeros(len(texts), bool)
+                mask[list(changed)] = True
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([changed[k] for k in sorted(changed)], texts.type))
+                batch = batch.set_column(at, batch.schema.field(at), texts)
+            yield batch
+
+    return map_batches(docs, run, docs.schema)
