@@ -2,6 +2,10 @@
 
 Only DataFrame functions are used. A pattern's matches come from regexp_extract_all, their places
 from the lengths of what split() leaves between them; both run the same engine, so they agree.
+Places are prefix sums, taken in chunks of `CHUNK` and over the chunks, and contexts are put together
+from the matches and gaps nearby, so the time of a text with many findings grows little more than
+in proportion to its length. Intermediate arrays are bound to lambda variables, as an expression
+that stands in a lambda would be evaluated for each element.
 Patterns are written so that Java's engine neither recurses nor rescans on long runs: possessive
 repeats, and starts only where a run begins or the match before ended (\\G), which changes no match.
 
@@ -10,18 +14,21 @@ iban (15 to 34 characters, mod 97). Scores are percent: what pattern and checksu
 more if a word of the kind stands within 40 characters before or 20 after, less for a contrary one.
 
 Defined results: null is the empty text and has no finding. Offsets are code points, ends
-exclusive. Failing matches are dropped without another try. Repeated rows give repeated results.
-Only key and text are read, so other columns' names don't matter.
+exclusive. Failing matches are dropped without another try. Repeated rows give repeated results,
+an empty table none; texts of any length are read whole. Findings stand by kind, then place, and no two
+of a kind start at the same place, so there are no ties. Only key and text are read, so other
+columns' names don't matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BEFORE, AFTER, NEAR = 40, 20, 25
+BEFORE, AFTER, NEAR, CHUNK = 40, 20, 25, 128
 
 #: What the rules match.
 PATTERN = {
@@ -53,22 +60,29 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", 95, "iban|account|bank|transfer", "order|serial"),
 )
 
-_SPANS = "array<struct<start:int,end:int,value:string>>"
 FINDINGS = "array<struct<kind:string,start:int,end:int,value:string,score:int>>"
 
 
-def _places(text: Column, kind: Kind) -> Column:
-    """All matches with their places, from what lies before each of them."""
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(kind.java), F.lit(0)).alias("v"), F.split(text, kind.java, -1).alias("g"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    def step(state, x):
-        start = state.at + F.length(x.g)
-        end = start + F.length(x.v)
-        one = F.struct(start.alias("start"), end.alias("end"), x.v.alias("value"))
-        return F.when(x.v.isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state.out, F.array(one)).alias("out")))
 
-    return F.when(text.rlike(kind.hint), F.aggregate(found, zero, step, lambda s: s.out)).otherwise(F.array().cast(_SPANS))
+def _running(values: Column, start: Column) -> Column:
+    """What comes before each value, summed up from `start`."""
+    zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, zero, lambda s, x: F.struct((s.at + x).alias("at"), F.concat(s.out, F.array(s.at)).alias("out")), lambda s: s.out)
+
+
+def running(values: Column) -> Column:
+    """The sum of the values before each value of an array of ints that isn't empty."""
+
+    def chunked(x: Column) -> Column:
+        heads = F.sequence(F.lit(1), F.size(x), F.lit(CHUNK))
+        sums = F.transform(heads, lambda h: F.aggregate(F.slice(x, h, F.lit(CHUNK)), F.lit(0), lambda a, b: a + b))
+        return _let(_running(sums, F.lit(0)), lambda starts: F.flatten(F.transform(starts, lambda at, k: _running(F.slice(x, k * CHUNK + 1, F.lit(CHUNK)), at))))
+
+    return _let(values, chunked)
 
 
 def _digits(value: Column) -> Column:
@@ -111,25 +125,43 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _scored(text: Column, kind: Kind, span: Column) -> Column:
-    before = F.lower(F.substring(text, F.greatest(span.start - BEFORE, F.lit(0)) + 1, F.least(span.start, F.lit(BEFORE))))
-    after = F.lower(F.substring(text, span.end + 1, F.lit(AFTER)))
+def _near(kind: Kind, before: Column, after: Column) -> Column:
+    """The score of a finding with this text before and after it."""
     near = lambda words: F.when(before.rlike(words) | after.rlike(words), NEAR).otherwise(0)
-    score = F.greatest(F.least(kind.score + near(kind.words) - near(kind.against), F.lit(100)), F.lit(0))
-    return F.struct(F.lit(kind.name).alias("kind"), span.start.alias("start"), span.end.alias("end"), span.value.alias("value"), score.alias("score"))
+    score = kind.score + near(kind.words) - near(kind.against)
+    return F.greatest(F.least(score, F.lit(100)), F.lit(0))
+
+
+def _found(text: Column, kind: Kind) -> Column:
+    """The confirmed findings of a kind. Pieces: the text as gap, match, gap, ..., gap."""
+
+    def with_pieces(values: Column, gaps: Column) -> Column:
+        pieces = F.flatten(F.transform(gaps, lambda g, k: F.when(k < F.size(values), F.array(g, F.get(values, k))).otherwise(F.array(g))))
+        valid = F.filter(F.transform(values, lambda v, k: F.struct(k.alias("k"), v.alias("v"))), lambda x: _valid(kind.name, x.v))
+
+        def told(p: Column) -> Column:
+            # a match has two characters at least, so no more than BEFORE pieces lie within BEFORE characters
+            tails = F.transform(p, lambda x: F.substring(x, -BEFORE, BEFORE))
+            heads = F.transform(p, lambda x: F.substring(x, 1, AFTER))
+            return _let(running(F.transform(p, lambda x: F.length(x))), lambda at: _let(tails, lambda t: _let(heads, lambda h: F.transform(valid, lambda x: one(x, at, t, h)))))
+
+        def one(x: Column, at: Column, tails: Column, heads: Column) -> Column:
+            here, start = x.k * 2 + 1, F.get(at, x.k * 2 + 1)
+            first = F.greatest(here - BEFORE, F.lit(0))
+            before = F.lower(F.substring(F.array_join(F.slice(tails, first + 1, here - first), ""), -BEFORE, BEFORE))
+            after = F.lower(F.substring(F.array_join(F.slice(heads, here + 2, F.lit(AFTER + 1)), ""), 1, AFTER))
+            return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(x.v)).alias("end"), x.v.alias("value"), _near(kind, before, after).alias("score"))
 
+        return _let(pieces, told)
 
-def _confirmed(text: Column, kind: Kind) -> Column:
-    valid = F.filter(F.col(f"__{kind.name}"), lambda span: _valid(kind.name, span.value))
-    return F.transform(valid, lambda span: _scored(text, kind, span))
+    found = _let(F.regexp_extract_all(text, F.lit(kind.java), F.lit(0)), lambda v: F.when(F.size(v) > 0, _let(F.split(text, kind.java, -1), lambda g: with_pieces(v, g))))
+    return F.coalesce(F.when(text.rlike(kind.hint), found), F.array().cast(FINDINGS)).cast(FINDINGS)
 
 
 def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key and findings (kind, start, end, value, score in percent), by kind, then start."""
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    t = F.col("__text")
-    rows = rows.select("*", *(_places(t, k).alias(f"__{k.name}") for k in KINDS))
-    return rows.select(F.col(key), F.concat(*(_confirmed(t, k) for k in KINDS)).cast(FINDINGS).alias("findings"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key), _let(t, lambda x: F.concat(*(_found(x, k) for k in KINDS))).alias("findings"))
 
 
 def _is(name: str):
@@ -137,14 +169,14 @@ def _is(name: str):
 
 
 def digest(found: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """Counts by kind, base_sha256 over the four base kinds, all spans, and their scores."""
+    """Counts by base kind, base_sha256 over the four base kinds, all spans, the count of account numbers, and all scores."""
     names = [k.name for k in KINDS]
     span = lambda f: F.concat_ws(":", f.kind, f.start.cast("string"), f.end.cast("string"))
     f = F.col("findings")
     kinds = F.transform(f, lambda x: x.kind)
-    counts = [F.size(F.filter(kinds, _is(n))).cast("long").alias(f"n_{n}") for n in names]
+    *counts, more = [F.size(F.filter(kinds, _is(n))).cast("long").alias(f"n_{n}") for n in names]
     base = F.array_join(F.transform(F.filter(f, lambda x: x.kind != "iban"), span), ",")
-    return found.select(F.col(key), *counts, F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform(f, span), ",").alias("spans"), F.array_join(F.transform(f, lambda x: x.score.cast("string")), ",").alias("scores"))
+    return found.select(F.col(key), *counts, F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform(f, span), ",").alias("spans"), more, F.array_join(F.transform(f, lambda x: x.score.cast("string")), ",").alias("scores"))
 
 
 def _oracle() -> str:
