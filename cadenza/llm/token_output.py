@@ -6,12 +6,16 @@ and a rank directory holds the number of marks before each block of 512. An id's
 next level is the rank of its mark, so any token is read by at most `levels` lookups, without
 decoding what stands around it.
 
-Files: documents are dealt by ranges of the key, sorted, encoded and packed into segments of
-whole documents (about `segment_ids` ids each). A segment is one row of a Parquet file, written
-by Spark's committer, so a lost executor or a task run twice leaves no broken or double file.
-
-Defined results: null is the empty text, which has the end id only. Rows with equal keys come in
-order of text; null keys come first. An empty table gives no segment. Only key and text are read.
+Files: texts are encoded where they are read, and the ids written to the shared folder once. Rows of ids are
+then dealt by ranges of (key, hash of the ids, row), so rows that share a key, or the null key, spread over
+tasks too; the number of ranges comes from the number of ids. Sorted ranges are packed into segments of whole
+documents (about `segment_ids` ids each). A segment is one row of a Parquet file, written by Spark's
+committer, so a lost executor or a task run twice leaves no broken or double file.
+
+Defined results: null is the empty text, which has the end id only. Rows with equal keys come in order of a
+hash of their ids; rows that are equal in both are alike. Null keys come first. An empty table gives no
+segment. A text of any length is one document; its ids must fit in memory. Only key and text are read, so
+other columns' names don't matter.
 """
 
 from __future__ import annotations
@@ -20,7 +24,6 @@ import os
 import re
 import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
-from .storage import shared_folder
+from .storage import discard, map_batches, materialize, shared_folder, worker_cache
 from .word_encode import Pool
 
 BLOCK = 512
@@ -81,20 +84,41 @@ class Dac:
             self.levels.append((chunks, words, ranks))
 
     def __getitem__(self, at) -> np.ndarray:
-        """The ids at these positions, in any order."""
+        """The ids at these positions, in any order: at each level one chunk, one rank and at most eight words of the bitmap."""
         at = np.atleast_1d(np.asarray(at, np.int64))
         out, who = np.zeros(len(at), np.uint32), np.arange(len(at))
         for k, (chunks, words, ranks) in enumerate(self.levels):
             out[who] |= chunks[at].astype(np.uint32) << np.uint32(self.bits * k)
-            word = words[at >> 6]
-            goes_on = (word >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
-            if k + 1 == len(self.levels) or not goes_on.any():
+            goes_on = (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+            if not goes_on.any():
+                break
+            at, who = at[goes_on], who[goes_on]
+            at = self._rank(words, ranks, at)
+        return out
+
+    @staticmethod
+    def _rank(words: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Marks before each position."""
+        block = words.reshape(-1, BLOCK // 64)[at >> 9]
+        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        place, column = (at >> 6 & 7)[:, None], np.arange(BLOCK // 64)[None]
+        marks = np.bitwise_count(np.where(column < place, block, np.where(column == place, block & low[:, None], np.uint64(0))))
+        return ranks[at >> 9].astype(np.int64) + marks.sum(1, dtype=np.int64)
+
+    def range(self, lo: int, hi: int) -> np.ndarray:
+        """The ids at lo, ..., hi - 1: a run of neighbours is a run at every level."""
+        out, who = np.zeros(hi - lo, np.uint32), slice(None)
+        for k, (chunks, words, ranks) in enumerate(self.levels):
+            if lo == hi:
+                break
+            out[who] |= chunks[lo:hi].astype(np.uint32) << np.uint32(self.bits * k)
+            marks = np.unpackbits(words.view(np.uint8)[lo >> 3 : (hi + 7) >> 3], bitorder="little")[lo & 7 :][: hi - lo] > 0
+            n = int(marks.sum())
+            if not n:
                 break
-            at, who, word = at[goes_on], who[goes_on], word[goes_on]
-            below = np.bitwise_count(word & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-            first = at >> 9 << 3  # the block's first word
-            inside = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
-            at = ranks[at >> 9].astype(np.int64) + inside[at >> 6] - inside[first] + below
+            who = np.flatnonzero(marks) if k == 0 else who[marks]
+            lo = int(self._rank(words, ranks, np.array([lo]))[0])
+            hi = lo + n
         return out
 
 
@@ -110,7 +134,7 @@ def _words(text: bytes) -> list[bytes]:
     return _PIECES.findall(text) if text.isascii() and b"'" not in text else text.split()
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def _pool(path: str) -> Pool:
     """Ids of words for a tokenizer that drops white space, puts A-Z in lower case and works on each word alone."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # every core has a task of its own
@@ -129,21 +153,46 @@ def _pool(path: str) -> Pool:
     return Pool(encode)
 
 
-def write_ids(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, segment_ids: int = 1 << 20, partitions: int | None = None, path: str | None = None) -> str:
-    """Encode all texts and write segment files in ascending order of key; returns their folder.
+def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
+    """One row per input row: key, n (ids with the end id) and ids, as little-endian numbers of 16 bits, or 32 where the vocabulary needs them."""
+    from tokenizers import Tokenizer
+
+    width = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def run(batches):
+        pool = _pool(tokenizer)
+        for batch in batches:
+            texts = batch.column(1).fill_null("")
+            for lo in range(0, len(texts), 128):
+                flat, n = pool([_words(t.encode()) for t in texts.slice(lo, 128).to_pylist()])
+                ends = np.cumsum(n)
+                flat = np.insert(flat, ends, end_id).astype(width)
+                cut = np.r_[0, np.cumsum(n + 1)] * flat.itemsize
+                ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 128), pa.array(n + 1), ids, pa.array(np.full(len(n), flat.itemsize, np.int32))], names=["key", "n", "ids", "width"])
+
+    return map_batches(rows, run, f"key {rows.schema[0].dataType.simpleString()}, n long, ids binary, width int", cache=_pool)
+
+
+def write_ids(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, segment_ids: int = 1 << 20, partition_ids: int = 1 << 23, path: str | None = None) -> str:
+    """Encode all texts and write segment files in ascending order of key; returns their folder. A task packs about `partition_ids` ids.
 
     Segments: part, segment (in order within part), first (ids before it in its part), n_docs,
     n_ids, keys (array), lengths (little-endian 32-bit numbers), codes.
     """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    count = [partitions] if partitions else [int(spark.conf.get("spark.sql.shuffle.partitions"))]
-    rows = rows.repartitionByRange(*count, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
+    encoded = materialize(encode(docs, tokenizer, key=key, text=text, end_id=end_id), "encoded")
+    total = encoded.agg(F.sum("n")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, 1 + total // partition_ids)
+    order = F.col("key").asc_nulls_first(), F.col("h").asc()
+    rows = encoded.select("key", "n", "ids", "width", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(parts, *order, F.col("row").asc()).sortWithinPartitions(*order).select("key", "n", "ids", "width")
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches):
-        pool, part, segment, first = _pool(tokenizer), TaskContext.get().partitionId(), 0, 0
+        part, segment, first = TaskContext.get().partitionId(), 0, 0
         keys, lengths, ids, held = [], [], [], 0
 
         def close():
@@ -159,24 +208,33 @@ def write_ids(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
             return out
 
         for batch in batches:
-            texts = batch.column(1).fill_null("")
-            for lo in range(0, len(texts), 128):
-                some = [_words(t.encode()) for t in texts.slice(lo, 128).to_pylist()]
-                flat, n = pool(some)
-                ends = np.cumsum(n)
-                ids.append(np.insert(flat, ends, end_id))
-                lengths.append(n + 1)
-                keys.append(batch.column(0).slice(lo, 128))
-                held += len(ids[-1])
+            n = batch.column(1).to_numpy()
+            lo = 0
+            while lo < len(n):  # whole documents up to a segment's size
+                hi = min(len(n), lo + 1 + int(np.searchsorted(np.cumsum(n[lo:]), segment_ids - held)))
+                width = batch.column(3)[lo].as_py()
+                ids.append(np.frombuffer(_bytes_of(batch.column(2).slice(lo, hi - lo)), f"<u{width}").astype(np.uint32))
+                lengths.append(n[lo:hi])
+                keys.append(batch.column(0).slice(lo, hi - lo))
+                held, lo = held + len(ids[-1]), hi
                 if held >= segment_ids:
                     yield close()
         if keys:
             yield close()
 
-    rows.mapInArrow(run, f"part int, segment int, first long, n_docs int, n_ids long, keys array<{kind}>, lengths binary, codes binary").write.parquet(path)
+    map_batches(rows, run, f"part int, segment int, first long, n_docs int, n_ids long, keys array<{kind}>, lengths binary, codes binary").write.parquet(path)
+    discard(encoded)
     return path
 
 
+def _bytes_of(column: pa.Array) -> bytes:
+    """The concatenated values of a binary column."""
+    wide = pa.types.is_large_binary(column.type)
+    _, at, data = column.buffers()
+    ends = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    return data[int(ends[0]) : int(ends[-1])] if data is not None else b""
+
+
 def part_starts(segments: DataFrame) -> dict[int, int]:
     """Ids before each part: one row for each part reaches the driver."""
     totals = sorted(segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
@@ -201,7 +259,7 @@ def read_ids(segments: DataFrame, *, key: str = "doc_id", with_ids: bool = False
                 inside = np.concatenate([[0], np.cumsum(n)])
                 for lo in range(0, len(n), 256):
                     hi = min(lo + 256, len(n))
-                    ids = dac[np.arange(inside[lo], inside[hi])].astype("<u4")
+                    ids = dac.range(int(inside[lo]), int(inside[hi])).astype("<u4")
                     cut = inside[lo : hi + 1] - inside[lo]
                     sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                     out = [names.values.slice(lo, hi - lo), pa.array(starts[part.as_py()] + first.as_py() + inside[lo:hi]), pa.array(n[lo:hi]), pa.array(sums, pa.int64())]
@@ -210,4 +268,4 @@ def read_ids(segments: DataFrame, *, key: str = "doc_id", with_ids: bool = False
                     yield pa.RecordBatch.from_arrays(out, names=columns)
 
     rows = segments.select("part", "first", "keys", "lengths", "codes")
-    return rows.mapInArrow(run, f"`{key}` {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return map_batches(rows, run, f"`{key}` {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
