@@ -9,7 +9,8 @@ with the least weighted logistic loss; texts whose two best codewords are close
 Defined results: null texts and texts without a letter are `und` with score 0; so is every
 text if there is no training row. Rows with null label, null id or null text are not learned
 from. Repeated rows count as often as they occur. Ties in loss go to the language that sorts
-first. Other columns of the input are not read, so their names don't matter.
+first. An empty table gives no row. Texts of any length are read whole. Other columns of the input are
+not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
+from .storage import discard, map_batches, materialize
 
 UNDETERMINED = "und"
 NGRAMS = (2, 3, 4)
@@ -100,19 +102,32 @@ class Model:
         return order[:, 0], share[rows, order[:, 0]] / share.sum(1), close
 
 
-def _counter(languages: list[str], buckets: int):
-    index = {x: k for k, x in enumerate(languages)}
+HELD = 64
+
+
+def _counter(buckets: int):
+    """Counts (label, bucket, n) of a partition. At most `HELD` labels' counts are held; the ones longest unseen go on."""
 
     def count(batches):
-        total = np.zeros(len(languages) * (buckets + 1), np.int64)
+        held: dict[str, np.ndarray] = {}
+
+        def put(label):
+            total = held.pop(label)
+            full = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array([label] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(total[full])], names=["label", "bucket", "n"])
+
         for batch in batches:
-            label = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
+            names, label = np.unique(np.array(batch.column(1).to_pylist(), object).astype(str), return_inverse=True) if batch.num_rows else ([], [])
             for lo, hi, buf, offsets in ragged.slices(batch.column(0)):
-                base = np.repeat(label[lo:hi] * (buckets + 1), np.diff(offsets))
-                for feature in ngram_features(buf, offsets, buckets):
-                    total += np.bincount(base + feature, minlength=len(total))
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["cell", "n"])
+                features, rows, own = ngram_features(buf, offsets, buckets), np.diff(offsets), label[lo:hi]
+                for k in np.unique(own):
+                    mask, name = np.repeat(own == k, rows), str(names[k])
+                    total = held.pop(name, None)
+                    held[name] = (0 if total is None else total) + sum(np.bincount(f[mask], minlength=buckets + 1)[:buckets] for f in features)
+                while len(held) > HELD:
+                    yield put(next(iter(held)))
+        for name in list(held):
+            yield put(name)
 
     return count
 
@@ -120,23 +135,43 @@ def _counter(languages: list[str], buckets: int):
 def train(docs: DataFrame, *, train_on: Column, text: str = "text", label: str = "lang", buckets: int = 1 << 16, smoothing: float = 0.5, margin: float = 0.5) -> Model | None:
     """Fit on all rows where `train_on` holds and text and label are not null; None if there are none.
 
-    What reaches the driver is the list of languages and at most languages x buckets counts.
+    The classifiers are fitted on the executors, for blocks of buckets at a time. What reaches the driver is the
+    list of languages, a weight for each bit and bucket, and each language's mean margins.
     """
-    rows = docs.where(train_on & F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"))
-    languages = sorted(r[0] for r in rows.groupBy("label").count().collect())
+    rows = docs.where(train_on & F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    counts = materialize(map_batches(rows, _counter(buckets), "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")), "ngrams")
+    # a label whose texts have no n-gram is learned all the same
+    totals = dict(rows.select("label", F.lit(0).cast("long").alias("n")).union(counts.select("label", "n")).groupBy("label").agg(F.sum("n").alias("n")).collect())
+    languages = sorted(totals)
     if not languages:
         return None
-    cells = rows.mapInArrow(_counter(languages, buckets), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(languages), buckets + 1))
-    counts.reshape(-1)[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
-    counts = counts[:, :buckets]
-    share = (counts + smoothing / 64) / np.maximum((counts + smoothing / 64).sum(1, keepdims=True), 1e-9)
-    code = codebook(len(languages))
+    code, block = codebook(len(languages)), max(64, (1 << 22) // max(len(languages), 64))
+    index = {x: k for k, x in enumerate(languages)}
+    mass = np.maximum(np.array([totals[x] for x in languages]) + smoothing / 64 * buckets, 1e-9)
+
+    def fit(table: pa.Table) -> pa.Table:
+        first = table.column("block")[0].as_py() * block
+        n = np.zeros((len(languages), min(block, buckets - first)))
+        n[[index[x] for x in table.column("label").to_pylist()], table.column("bucket").to_numpy() - first] = table.column("n").to_numpy()
+        share = (n + smoothing / 64) / mass[:, None]
+        weights = np.zeros((code.shape[1], n.shape[1]), np.float32)
+        for b, bit in enumerate(code.T):
+            if len(set(bit)) == 2:
+                weights[b] = np.clip(np.log(share[bit > 0].mean(0)) - np.log(share[bit < 0].mean(0)), -6, 6)
+        return pa.table({"first": pa.array([first], pa.int64()), "weights": pa.array([weights.tobytes()], pa.binary()), "own": pa.array([(share @ weights.T).tobytes()], pa.binary())})
+
+    # a block without any n-gram still has weights: its shares differ by the languages' totals alone
+    every = docs.sparkSession.range(-(-buckets // block)).select(F.lit(languages[0]).alias("label"), (F.col("id") * block).cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
+    cells = counts.union(every).groupBy("label", "bucket").agg(F.sum("n").alias("n")).withColumn("block", F.floor(F.col("bucket") / block))
+    fitted = cells.groupBy("block").applyInArrow(fit, "first long, weights binary, own binary").toArrow().sort_by("first").to_pylist()
+    discard(counts)
     weights = np.zeros((code.shape[1], buckets + 1), np.float32)
-    for b, bit in enumerate(code.T):
-        if len(set(bit)) == 2:
-            weights[b, :buckets] = np.clip(np.log(share[bit > 0].mean(0)) - np.log(share[bit < 0].mean(0)), -6, 6)
-    own = (share @ weights[:, :buckets].T) * code
+    own = np.zeros((len(languages), code.shape[1]))
+    for part in fitted:
+        w = np.frombuffer(part["weights"], np.float32).reshape(code.shape[1], -1)
+        weights[:, part["first"] : part["first"] + w.shape[1]] = w
+        own += np.frombuffer(part["own"]).reshape(own.shape)
+    own *= code
     scale = 4 / np.maximum(abs(own).mean(0), 1e-6)
     bit_weight = np.clip(own.min(0) * scale / 4, 0.05, 2)
     return Model(languages, code, weights, bit_weight / bit_weight.sum() * 4, scale, buckets, margin)
@@ -176,4 +211,4 @@ def identify(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(names, pa.string()), pa.array(scores), pa.array(flags)], names=[*carried, "lang_pred", "score", "ambiguous"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", lang_pred string, score double, ambiguous boolean"
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
