@@ -9,11 +9,14 @@ similarity, the sum of the lesser over the sum of the greater counts.
 
 A window without any shingle of any item has similarity 0, whatever its fingerprint, so windows
 are laid only where an item's shingle stands nearby; this loses nothing. A text shorter than an
-item is one window. Items are taken in blocks of bounded size, whatever the benchmark's size.
+item is one window. Items are taken in blocks of at most `items` items and about 8 MB of text (an index
+of about 35 MB), `together` blocks at a time; between two such passes the rows are written, and the blocks
+of a pass are destroyed before those of the next are sent.
 
 Defined results: null and empty texts and items match nothing. Equal items are reported each.
-Repeated rows give repeated results. A null item id is reported as null. Columns other than key
-and text are not read when scanning.
+Repeated rows give repeated results. A null item id is reported as null. An empty table gives no row, an
+empty benchmark no match. A similarity of exactly `SIMILARITY` counts. Texts of any length are scanned whole.
+Columns other than key and text are not read when scanning, and passed on by keep_clean whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from functools import partial
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
+from .storage import discard, map_batches, materialize
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 15, 4
 _WIDTH, _LEADING = 64 // BLOCKS, 20
@@ -182,47 +187,67 @@ def blocks(benchmark: DataFrame, *, key: str = "item_id", text: str = "text", it
         yield block
 
 
-def _scan(texts: pa.Array, block: Block) -> Iterator[tuple[int, dict[int, float]]]:
+def _scan(texts: pa.Array, own: list[Block]) -> Iterator[tuple[int, int, dict[int, float]]]:
+    """Rows with a match in a block: (row, block, items and their similarities). Words are hashed once for all blocks."""
     for lo, _, buf, offsets in ragged.slices(texts):
         buf = ragged.LOWER[buf]
         starts, ends, first = ragged.words(buf, offsets)
-        for row, found in block.matches(ragged.span_hashes(buf, starts, ends), first).items():
-            if found:
-                yield lo + row, found
+        words = ragged.span_hashes(buf, starts, ends)
+        for k, block in enumerate(own):
+            for row, found in block.matches(words, first).items():
+                if found:
+                    yield lo + row, k, found
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, item_key: str, run, schema, together: int, items: int) -> DataFrame:
+    """Apply `run` with `together` blocks at a time. What a pass but the last gives is written, and its blocks are destroyed,
+    so driver and executors hold the blocks of one pass, however large the benchmark is."""
+    sc, made, last = docs.sparkSession.sparkContext, blocks(benchmark, key=item_key, items=items), None
+    some = list(islice(made, together))
+    while some:
+        after = list(islice(made, together))
+        shared = sc.broadcast(some)
+        docs = map_batches(docs, partial(run, shared), schema)
+        if after:
+            written = materialize(docs, "scanned")
+            shared.destroy()
+            if last is not None:
+                discard(last)
+            docs = last = written
+        some = after
+    return docs
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", together: int = 4, items: int = 1024) -> DataFrame:
     """One row per input row: key, contaminated, n_items, item_ids (ascending) and max_similarity (null without a match)."""
-    spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.array().cast(f"array<{item_kind}>").alias("items"), F.lit(None).cast("double").alias("best"))
-    schema = rows.schema
-    for block in blocks(benchmark, key=item_key):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                items, best = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                for row, found in _scan(batch.column(1), shared.value):
-                    items[row] = items[row] + [shared.value.ids[i] for i in sorted(found)]
-                    best[row] = max(best[row] or 0.0, *found.values())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, batch.schema.field(2).type), pa.array(best, pa.float64())], names=["key", "text", "items", "best"])
-
-        rows = rows.mapInArrow(run, schema)
+
+    def run(shared, batches):
+        for batch in batches:
+            found, best = {}, {}
+            for row, k, similar in _scan(batch.column(1), shared.value):
+                found.setdefault(row, []).extend(shared.value[k].ids[i] for i in sorted(similar))
+                best[row] = max(best.get(row, 0.0), *similar.values())
+            columns = batch.columns
+            if found:
+                had, most = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                columns[2] = pa.array([x + found.get(k, []) for k, x in enumerate(had)], batch.schema.field(2).type)
+                columns[3] = pa.array([max(x or 0.0, best[k]) if k in best else x for k, x in enumerate(most)], pa.float64())
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "text", "items", "best"])
+
+    rows = _passes(rows, benchmark, item_key, run, rows.schema, together, items)
     return rows.select(F.col("key").cast(kind).alias(key), (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.col("items").alias("item_ids"), F.col("best").alias("max_similarity"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id") -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", together: int = 4, items: int = 1024) -> DataFrame:
     """The rows without a match, with all their columns."""
     at = docs.columns.index(text)
-    for block in blocks(benchmark, key=item_key):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                clean[[row for row, _ in _scan(batch.column(at), shared.value)]] = False
-                yield batch.filter(pa.array(clean))
+    def run(shared, batches):
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[row for row, *_ in _scan(batch.column(at), shared.value)]] = False
+            yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return _passes(docs, benchmark, item_key, run, docs.schema, together, items)
