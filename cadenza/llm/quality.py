@@ -4,15 +4,19 @@ Words and punctuation runs of the lower-cased text, alone and in pairs, fall int
 One multinomial over the buckets is counted from trusted documents (quality 1, not toxic), one
 from the whole raw corpus. A text's score is the mean over its n-grams of log(trusted / raw).
 Every text is held against one threshold: the score that a stated share of trusted documents
-misses when each is scored by the trusted counts of the other half (so not by its own).
+misses when each is scored by the trusted counts of the other half (so not by its own), rounded
+down to a step of 1/`STEPS`; it is read off a histogram of at most 2 x `REACH` x `STEPS` cells.
 
 Raw counts cover all rows. Trusted documents are at most `trusted_rows` ids, those with the
-smallest hashes, so their list (8 bytes each) is safe to broadcast.
+smallest hashes, so their list (8 bytes each) is safe to broadcast. Ids of any type are taken as
+text and known by 64-bit hashes.
 
 Defined results: null is the empty text, which has no words and fails the base rules. Without
 labels or trusted documents the score is 0 and only the base rules decide. Labels that occur
 several times must all say quality 1 and not toxic; null labels aren't trusted. Repeated rows
-count as often as they occur. Null ids are never trusted.
+count as often as they occur. Null ids are never trusted. An empty table gives no row. A text whose
+score equals the threshold is kept. Texts of any length are counted whole. Only key and text are
+read, other columns are passed on by keep_good whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
+from .storage import map_batches
 
 #: The symbols counted by the base rule.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
+STEPS, REACH = 4096, 32
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
@@ -134,14 +140,18 @@ def log_ratio(trusted: np.ndarray, raw: np.ndarray, smoothing: float) -> np.ndar
 
 
 def trusted_ids(labels: DataFrame, rows: int, key: str = "doc_id") -> np.ndarray:
-    """Sorted ids of trusted documents, at most `rows`, chosen by hash."""
-    good = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t")).where("q = 1 and t = 0")
-    some = good.select(F.col(key).cast("long").alias("id")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    """Sorted hashes of trusted documents' ids, at most `rows`, the smallest ones."""
+    good = labels.select(_hashed(key).alias("id"), "quality", "toxic").where("id is not null").groupBy("id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t")).where("q = 1 and t = 0")
+    some = good.select("id").orderBy("id").limit(rows)
     return np.sort(some.toArrow().column(0).to_numpy())
 
 
+def _hashed(key: str) -> Column:
+    return F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string")))
+
+
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    return docs.select(_hashed(key).alias("key"), F.col(text).alias("text"))
 
 
 def _trusted(ids: np.ndarray, keys: pa.Array) -> np.ndarray:
@@ -154,7 +164,7 @@ def _trusted(ids: np.ndarray, keys: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", buckets: int = 1 << 16, trusted_rows: int = 1 << 18, smoothing: float = 0.5, miss: float = 0.002) -> Model:
-    """Count both multinomials and set the threshold. At most 3 x buckets counts and trusted_rows scores reach the driver."""
+    """Count both multinomials and set the threshold. At most 3 x buckets counts and 2 x REACH x STEPS cells reach the driver."""
     ids = docs.sparkSession.sparkContext.broadcast(trusted_ids(labels, trusted_rows, key))
     rows = _rows(docs, key, text)
 
@@ -171,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["cell", "n"])
 
-    cells = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = map_batches(rows, count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(3 * buckets)
     counts[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
     raw, *halves = counts.reshape(3, buckets)
@@ -180,15 +190,20 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     across = docs.sparkSession.sparkContext.broadcast([Model(log_ratio(2 * halves[1 - k], raw, smoothing), 0) for k in (0, 1)])
 
     def held_out(batches):
+        total = np.zeros(2 * REACH * STEPS, np.int64)
         for batch in batches:
             half = _trusted(ids.value, batch.column(0))
             for k in (0, 1):
                 for _, _, buf, offsets in ragged.slices(batch.column(1).filter(pa.array(half == k + 1))):
-                    scores = across.value[k].scores(buf, offsets)
-                    yield pa.RecordBatch.from_arrays([pa.array(scores[~base_failed(statistics(buf, offsets))])], names=["score"])
+                    scores = across.value[k].scores(buf, offsets)[~base_failed(statistics(buf, offsets))]
+                    total += np.bincount(np.clip(np.floor((scores + REACH) * STEPS), 0, len(total) - 1).astype(np.int64), minlength=len(total))
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["cell", "n"])
 
-    scores = rows.mapInArrow(held_out, "score double").toArrow().column(0).to_numpy()
-    return Model(log_ratio(halves[0] + halves[1], raw, smoothing), float(np.quantile(scores, miss, method="lower")) if len(scores) else -np.inf)
+    cells = map_batches(rows, held_out, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
+    cell, below = cells.column(0).to_numpy(), np.cumsum(cells.column(1).to_numpy())
+    threshold = cell[np.searchsorted(below, miss * (below[-1] - 1), "right")] / STEPS - REACH if len(cell) else -np.inf
+    return Model(log_ratio(halves[0] + halves[1], raw, smoothing), float(threshold))
 
 
 def _judge(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -212,7 +227,7 @@ def judge(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in stats.T), pa.array(failed), pa.array(kept), pa.array(scores)], names=[key, *STATISTICS, "base_failed", "kept", "score"])
 
     kinds = ", ".join(f"{n} long" for n in STATISTICS)
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, {kinds}, base_failed boolean, kept boolean, score double")
+    return map_batches(rows, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, {kinds}, base_failed boolean, kept boolean, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
@@ -223,4 +238,4 @@ def keep_good(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame
         for batch in batches:
             yield batch.filter(pa.array(_judge(shared.value, batch.column(at))[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
