@@ -31,7 +31,8 @@ above, so a pair with a shingle in one of them is found there, whatever it share
 
 Defined results: null and empty texts and texts without a word have fingerprint zero (and an empty set) and are linked
 like others. Rows with null ids take part; a component's id is the least id that isn't null (null if
-there is none). Repeated rows get the same component. Only key and text are read.
+there is none). Repeated rows get the same component. An empty table gives no row. Texts of any length are taken whole.
+Ids are of any type with an order. Only key and text are read, other columns are passed on by `keep_one` whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, golay, ragged
 from .components import components
-from .storage import materialize
+from .joins import join_counted
+from .storage import discard, map_batches, materialize
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -181,13 +183,13 @@ def fingerprint_table(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1)).view(np.int64))], names=[key, "print"])
 
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, print long")
+    return map_batches(rows, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, print long")
 
 
 def hot_keys(distinct: DataFrame, members: int = MEMBERS, counted: int = COUNTED) -> DataFrame:
     """Keys of about more than `members` fingerprints, and the number of blocks to cut each group into."""
     some = distinct.select("print").where(F.pmod(F.xxhash64("print"), F.lit(counted)) == 0)
-    counts = some.mapInArrow(_explode, "key long, print long").groupBy("key").agg((F.count("*") * counted).alias("n"))
+    counts = map_batches(some, _explode, "key long, print long").groupBy("key").agg((F.count("*") * counted).alias("n"))
     return counts.where(F.col("n") > members).select("key", F.ceil(F.col("n") / members).alias("blocks"))
 
 
@@ -203,21 +205,22 @@ def deal(keyed: DataFrame, hot: DataFrame) -> DataFrame:
 def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: int = MEMBERS, counted: int = COUNTED) -> DataFrame:
     """One row per input row: key, fingerprint (16 hex digits) and component_id."""
     table = materialize(fingerprint_table(docs, key=key, text=text), "fingerprints")
-    distinct = materialize(table.groupBy("print").agg(F.min(key).alias("least")), "distinct")
+    distinct = materialize(table.groupBy("print").agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct")
     spark = docs.sparkSession
-    keyed = distinct.select("print").mapInArrow(_explode, "key long, print long")
+    keyed = map_batches(distinct.select("print"), _explode, "key long, print long")
     hot = materialize(hot_keys(distinct, members, counted), "hot-keys")
     repeats = hot.agg(F.sum(F.col("blocks") * F.col("blocks")).alias("n")).first().n or 0
     if repeats:
         keyed = deal(keyed, hot)  # Spark broadcasts `hot` or not by the size of its files
     # 185 keys a fingerprint, and the members of hot groups once a block: enough partitions that a task sorts about a million rows
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (distinct.count() * 185 + repeats * members) // 1_000_000)
-    links = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_link, "a long, b long")
+    links = map_batches(keyed.repartition(parts, "key").sortWithinPartitions("key"), _link, "a long, b long")
     roots = components(links)
-    least = distinct.join(roots, distinct.print == roots.node, "left").select("print", F.coalesce("root", "print").alias("root"), "least")
-    by_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(least.join(by_root, "root").select("print", "component_id"), "components")
-    return table.join(named, "print").select(key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    least = materialize(distinct.join(roots, distinct.print == roots.node, "left").select("print", F.coalesce("root", "print").alias("root"), "least", "n"), "rooted")
+    by_root = materialize(least.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")), "roots")
+    named = materialize(join_counted(least, by_root, "root", "prints").select("print", "component_id", "n"), "components")
+    discard(distinct, hot, least, by_root)
+    return join_counted(table, named, "print", "n").select(key, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_sets(texts: pa.Array, shingle: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +246,12 @@ def shingle_sets(texts: pa.Array, shingle: int = WORDS) -> tuple[np.ndarray, np.
     return np.concatenate(found), np.cumsum(np.concatenate(sizes))
 
 
+def set_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each set."""
+    blob, ends = hashes.tobytes(), (first * 8).tolist()
+    return np.fromiter((xxhash.xxh3_64_intdigest(blob[a:b]) for a, b in zip(ends, ends[1:], strict=False)), np.uint64, len(first) - 1).view(np.int64)
+
+
 def least_common(sizes: np.ndarray, similarity: float) -> np.ndarray:
     """The least whole number that is `similarity` of each size."""
     return np.ceil(similarity * sizes - 1e-9).astype(np.int64)
@@ -360,26 +369,25 @@ def _verify(similarity: float, shingle: int):
 
 
 def copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL, block: int = BLOCK, counted: int = COUNTED) -> DataFrame:
-    """The least key of each component of texts whose shingle sets are similar, in the column component_id."""
+    """One row for each component of texts whose shingle sets are similar: the least key, in the column component_id,
+    the least hash of a set that has it (node), and how many rows have that set (n)."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
 
     def sign(batches):
         for batch in (whole.slice(lo, 1024) for whole in batches for lo in range(0, whole.num_rows, 1024)):
             hashes, first = shingle_sets(batch.column(1), shingle)
-            blob, ends = hashes.tobytes(), (first * 8).tolist()
-            nodes = np.fromiter((xxhash.xxh3_64_intdigest(blob[a:b]) for a, b in zip(ends, ends[1:], strict=False)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes.view(np.int64)), pa.array(np.diff(first))], names=["least", "text", "node", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_hashes(hashes, first)), pa.array(np.diff(first))], names=["least", "text", "node", "size"])
 
-    signed = docs.select(F.col(key).alias("least"), F.col(text).alias("text")).mapInArrow(sign, f"least {kind}, text string, node long, size long")
-    distinct = materialize(signed.groupBy("node").agg(F.min("least").alias("least"), F.first("size").alias("size"), F.first("text").alias("text")), "distinct")
+    signed = map_batches(docs.select(F.col(key).alias("least"), F.col(text).alias("text")), sign, f"least {kind}, text string, node long, size long")
+    distinct = materialize(signed.groupBy("node").agg(F.min("least").alias("least"), F.first("size").alias("size"), F.first("text").alias("text"), F.count("*").alias("n")), "distinct")
 
     def spread(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column(0), shingle)[0].view(np.int64))], names=["key"])
 
-    some = distinct.where(F.pmod(F.xxhash64("node"), F.lit(counted)) == 0).select("text").mapInArrow(spread, "key long")
-    often = some.groupBy("key").count().where("count > 1").orderBy(F.desc("count")).limit(COMMON).select("key").toArrow()
+    some = distinct.where(F.pmod(F.xxhash64("node"), F.lit(counted)) == 0).select("text")
+    often = map_batches(some, spread, "key long").groupBy("key").count().where("count > 1").orderBy(F.desc("count")).limit(COMMON).select("key").toArrow()
     common = spark.sparkContext.broadcast(np.sort(often.column(0).to_numpy().view(np.uint64)))
 
     def deal_out(batches):
@@ -390,29 +398,49 @@ def copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle:
                 node, size = part.column(0).to_numpy(), part.column(2).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(node[row]), pa.array(size[row].astype(np.int32)), pa.array(place.astype(np.int32))], names=["key", "node", "size", "place"])
 
-    keyed = distinct.select("node", "text", "size").mapInArrow(deal_out, "key long, node long, size int, place int")
+    keyed = map_batches(distinct.select("node", "text", "size"), deal_out, "key long, node long, size int, place int")
     rows = distinct.agg(F.sum(F.ceil(F.col("size") * (1 - similarity + MORE)) + 1).alias("n")).first().n or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows // 1_000_000)
-    found = materialize(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_candidates(similarity, small), "a long, b long, n long, least long"), "candidates")
+    found = materialize(map_batches(keyed.repartition(parts, "key").sortWithinPartitions("key"), _candidates(similarity, small), "a long, b long, n long, least long"), "candidates")
     texts, texts_b = distinct.select(F.col("node").alias("a"), F.col("text").alias("text_a")), distinct.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     enough = materialize(found.where("least > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("least").alias("least")).where("n >= least").select("a", "b"), "pairs")
     pairs = enough.join(texts, "a").join(texts_b, "b").select("a", "b", "text_a", "text_b")
-    links = pairs.mapInArrow(_verify(similarity, shingle), "a long, b long")
+    links = map_batches(pairs, _verify(similarity, shingle), "a long, b long")
     members = found.where("least = 0").select(F.col("a").alias("key"), F.col("b").alias("print"))
     if not members.isEmpty():
         counts = members.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks"))
         dealt = deal(members, materialize(counts, "hot-keys")).join(texts.withColumnRenamed("a", "print"), "print").select("key", "print", "text_a")
-        links = links.union(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_search(similarity, shingle), "a long, b long"))
+        links = links.union(map_batches(dealt.repartition(parts, "key").sortWithinPartitions("key"), _search(similarity, shingle), "a long, b long"))
     roots = components(links)
-    return distinct.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("component_id")).select("component_id")
+    discard(found, enough)
+    one = F.struct("least", "node", "n")
+    named = distinct.select("node", "least", "n").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.coalesce(F.min(F.when(F.col("least").isNotNull(), one)), F.min(one)).alias("x"))
+    return named.select(F.col("x.least").alias("component_id"), "x.node", "x.n")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component of similar texts, that with the component's id, with all columns. Rows that share an id stay once
-    for each distinct text. A row with a null id stands for its group only if no row of it has an id; its text's
-    hash then serves as one."""
-    stand_in = F.lit(1 << 62) + F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND((1 << 61) - 1)
-    rows = docs.withColumn("__near_dup_id", F.coalesce(F.col(key).cast("long"), stand_in))
-    found = copies(rows, key="__near_dup_id", text=text).select(F.col("component_id").alias("__near_dup_id")).distinct()
-    kept = rows.join(found, "__near_dup_id", "left_semi").withColumn("__near_dup_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return kept.dropDuplicates(["__near_dup_id", "__near_dup_hash"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One row of each component of similar texts, with all columns: that with the component's id, and of several rows
+    with it that of the least hash of a shingle set (any of rows alike in both). A row with a null id stands for its
+    group only if no row of it has an id; its text's hash then serves as one."""
+    name, wanted, times = (_unused(x, docs.columns) for x in ("component", "set", "times"))
+    stand_in = F.when(F.col(key).isNull(), F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = docs.withColumn(name, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), stand_in.alias("hash")))  # rows with ids sort first
+    found = materialize(copies(rows, key=name, text=text).select(F.col("component_id").alias(name), F.col("node").alias(wanted), F.col("n").alias(times)), "kept")
+    joined = rows.join(found, name)
+    at, to = joined.columns.index(text), joined.columns.index(wanted)
+
+    def same_set(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(set_hashes(*shingle_sets(batch.column(at))) == batch.column(to).to_numpy()))
+
+    kept = map_batches(joined, same_set, joined.schema)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once, often = kept.where(F.col(times) == 1), kept.where(F.col(times) > 1).dropDuplicates([name, wanted])
+    return once.select(*columns).union(often.select(*columns))
+
+
+def _unused(name: str, names: list[str]) -> str:
+    """A column name that isn't taken."""
+    while name in names:
+        name = "_" + name
+    return name
