@@ -4,11 +4,14 @@ The model's protobuf is read field by field; normaliser, metaspace marker, unigr
 score-ordered merges, unknown token and byte fallback are rebuilt as a tokenizers pipeline.
 If no piece has a marker after another character, the text falls apart before each run of
 markers, so distinct chunks are encoded once, in multithreaded batches, and put together.
-Ids are decoded from a table of the pieces' bytes.
+Ids are decoded from a table of the pieces' bytes. `parity` names the texts on which this differs from the
+sentencepiece library. That library adds up a text's unigram scores as 32-bit floats, so far into a long text it
+decides between paths of nearly equal score by rounding; here each is decided by its own sum.
 
 Defined results: null and empty texts have no ids and come back as the empty text. Texts whose
 normalisation isn't the identity come back normalised (`round_trip` is then false). Repeated rows
-give repeated results. Columns other than those asked for are not read.
+give repeated results, an empty table no row. Texts of any length are encoded whole. Columns other than those
+asked for are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 import struct
 import zlib
 from dataclasses import dataclass, field
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
+from .storage import map_batches, worker_cache
 from .word_encode import Pool
 
 MARK = "▁"
@@ -172,11 +176,27 @@ class Codec:
         """UTF-8 of each text, without the marker put before it; stray bytes stay as they are."""
         flat = ragged.gather(self.bytes, self.start[ids], self.length[ids]).tobytes()
         ends = np.cumsum(ragged.sums(self.length[ids], np.r_[0, np.cumsum(counts)]))
-        skip = int(self.spec.dummy_prefix)
-        return [flat[a + (skip and flat[a : a + 1] == b" ") : b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-
-@lru_cache(maxsize=2)
+        parts = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        if not (self.spec.squeeze or self.spec.dummy_prefix):
+            return parts
+        return [x[self._leading(ids[a:b]) :] for x, a, b in zip(parts, [0, *np.cumsum(counts)[:-1].tolist()], np.cumsum(counts).tolist(), strict=True)]
+
+    def _leading(self, ids: np.ndarray) -> int:
+        """How many markers at the start of a text are dropped: the first; where white space is squeezed, one of each piece as long as there is no text."""
+        dropped = 0
+        for k in ids.tolist():
+            piece, _, kind = self.spec.pieces[k]
+            if kind == CONTROL:
+                continue
+            if kind not in (NORMAL, USER_DEFINED) or not piece.startswith(MARK):
+                break
+            dropped += 1
+            if piece != MARK or not self.spec.squeeze:
+                break
+        return dropped
+
+
+@worker_cache
 def load(path: str) -> Codec:
     return Codec(path)
 
@@ -209,7 +229,7 @@ def encode_documents(docs: DataFrame, model: str, *, key: str = "doc_id", text:
                 ids = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), ids, pa.array(n), pa.array(sums, pa.int64()), pa.array(same)], names=[key, "ids", "n_tokens", "ids_crc32", "round_trip"])
 
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")
+    return map_batches(rows, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean", cache=load)
 
 
 def decode_documents(encoded: DataFrame, model: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -223,4 +243,4 @@ def decode_documents(encoded: DataFrame, model: str, *, key: str = "doc_id", ids
             flat, n = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "replace") for x in codec.decode(flat, n)], pa.string())], names=[key, "text"])
 
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, text string")
+    return map_batches(rows, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, text string", cache=load)

@@ -14,7 +14,6 @@ results, and columns other than key and text are not read.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import map_batches, worker_cache
+
 #: The split pattern of the public byte-level pre-tokeniser, with \s as the Unicode White_Space property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -43,7 +44,7 @@ class ByteBpe:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, shape = spec["model"], spec["pre_tokenizer"]
-        if model["type"] != "BPE" or shape["type"] != "ByteLevel" or shape["add_prefix_space"] or not shape["use_regex"] or spec["normalizer"] or any(model.get(k) for k in ("ignore_merges", "end_of_word_suffix", "continuing_subword_prefix", "dropout", "byte_fallback")):
+        if model["type"] != "BPE" or shape["type"] != "ByteLevel" or shape["add_prefix_space"] or not shape["use_regex"] or spec["normalizer"] or any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")) or any(model.get(k) for k in ("ignore_merges", "end_of_word_suffix", "continuing_subword_prefix", "dropout", "byte_fallback")):
             raise ValueError(f"{path} isn't a plain byte-level BPE")
         vocab = model["vocab"]
         self.of_byte = np.array([vocab[c] for c in byte_alphabet()], np.int64)
@@ -130,7 +131,7 @@ class ByteBpe:
         return out
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
@@ -150,4 +151,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
             n = pa.array(numbers, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), n, pa.array([x > limit for x in numbers], pa.bool_())], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(rows, run, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean", cache=load)
