@@ -33,13 +33,31 @@ def write_manifest(works: DataFrame, path: str) -> None:
     works.select("slug", "pdf_path", F.struct("title", "composer", "rhythm", "time_signature", "key_hint", "tempo_hint").alias("metadata")).write.mode("errorifexists").json(path)
 
 
+def _harmony(node: ET.Element) -> str:
+    """Root, shown text (else the kind's sign, else the kind) and bass of a harmony."""
+
+    def name(of: str) -> str:
+        step = (node.findtext(f"{of}/{of}-step") or "").strip()
+        return step + ALTERATION.get(int((node.findtext(f"{of}/{of}-alter") or "0").strip()), "") if step else ""
+
+    root, kind = name("root"), node.find("kind")
+    if root[:1] not in STEPS or not root:
+        raise ValueError(f"a harmony needs a root, not {root!r}")
+    if kind is None:
+        raise ValueError("a harmony needs a kind")
+    said = (kind.text or "").strip()
+    bass = name("bass")
+    return root + ((kind.get("text") or "").strip() or KIND_SYMBOL.get(said, said)) + (f"/{bass}" if bass else "")
+
+
 def score_events(blob: bytes) -> Iterator[tuple]:
     """(kind, measure, onset, duration, pitch, accidental, symbol, time signature) of a one-part score, in document order.
 
     Ties are folded. A cursor follows durations, backups and forwards; notes of a chord share their first one's onset;
-    notes without a duration are skipped. The signature is the last one seen.
+    notes without a duration are skipped. The signature is the last one seen. A score without one part or a signature,
+    and a harmony without a readable root or a kind, is an error.
     """
-    root = ET.fromstring(blob)
+    root = ET.fromstring(bytes(blob))
     for node in root.iter():
         node.tag = node.tag.rpartition("}")[2]
     parts = root.findall("part")
@@ -53,31 +71,32 @@ def score_events(blob: bytes) -> Iterator[tuple]:
             length = float(node.findtext("duration") or 0) / divisions
             if node.tag == "attributes":
                 divisions = float(node.findtext("divisions") or divisions)
-                if node.find("time") is not None:
-                    signature = f"{node.findtext('time/beats')}/{node.findtext('time/beat-type')}"
+                beats, unit = node.findtext("time/beats"), node.findtext("time/beat-type")
+                signature = f"{beats.strip()}/{unit.strip()}" if beats and unit else signature
             elif node.tag in ("backup", "forward"):
                 cursor += length if node.tag == "forward" else -length
             elif node.tag == "harmony":
-                name = lambda x, node=node: (node.findtext(f"{x}/{x}-step") or "") + ALTERATION.get(int(node.findtext(f"{x}/{x}-alter") or 0), "")
-                kind = node.find("kind")
-                shown = kind.get("text") if kind is not None else None
-                body = shown if shown is not None else KIND_SYMBOL.get((kind.text or "") if kind is not None else "major", "")
-                chords.append((number, round(cursor, 4), name("root") + body + (f"/{name('bass')}" if node.find("bass") is not None else "")))
-            elif node.tag == "note" and node.find("duration") is not None:
+                onset = cursor + float(node.findtext("offset") or 0) / divisions
+                chords.append((number, round(onset, 4), _harmony(node)))
+            elif node.tag == "note" and length > 0:
                 onset = first if node.find("chord") is not None else cursor
                 if node.find("chord") is None:
                     first, cursor = cursor, cursor + length
                 if node.find("rest") is None and node.find("pitch") is not None:
                     alter = int(float(node.findtext("pitch/alter") or 0))
                     pitch = 12 * (int(node.findtext("pitch/octave")) + 1) + STEPS[node.findtext("pitch/step")] + alter
-                    ties = {t.get("type") for t in node.findall("tie")}
+                    ties = {t.get("type") for t in (*node.findall("tie"), *node.findall("notations/tied"))}
                     if "stop" in ties and pitch in sounding:
-                        sounding[pitch][2] += length
+                        sounding[pitch][2] = round(sounding[pitch][2] + round(length, 4), 4)
+                        if "start" not in ties:
+                            del sounding[pitch]
                     else:
-                        sounding[pitch] = [number, onset, length, pitch, alter if node.find("accidental") is not None else None]
-                        notes.append(sounding[pitch])
-                    if "start" not in ties:
-                        sounding.pop(pitch, None)
+                        natural = 0 if (node.findtext("accidental") or "").strip() == "natural" else None
+                        notes.append([number, onset, round(length, 4), pitch, alter if node.find("pitch/alter") is not None else natural])
+                        if "start" in ties:
+                            sounding[pitch] = notes[-1]
+    if signature is None:
+        raise ValueError("a score needs a time signature")
     for number, onset, length, pitch, accidental in notes:
         yield "note", number, round(onset, 4), round(length, 4), pitch, accidental, None, signature
     for number, onset, symbol in chords:

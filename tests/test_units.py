@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
+import hashlib
+import json
+import unicodedata
+
+import pytest
 from cadenza.functions import columns as C
-from cadenza.operators import matching, models, timeline
+from cadenza.operators import timeline
 from cadenza.sources import scores
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 
@@ -26,46 +28,76 @@ def test_columns(spark):
     assert one(spark, C.safe_ratio(text(1), text(0)), C.safe_ratio(text(1), text(0), None), C.safe_ratio(text(1), text(4))) == [0.0, None, 0.25]
 
 
-def test_timeline(spark):
-    rows = spark.createDataFrame([(1, 0, 5), (1, 3, 7), (1, 9, 10), (1, 10, 12)], "g int, s int, e int")
-    assert sorted(map(tuple, timeline.merged_intervals(rows, ["g"], "s", "e").collect())) == [(1, 0, 7), (1, 9, 12)]
-    assert [tuple(r) for r in timeline.gaps(rows, ["g"], "s", "e").collect()] == [(1, 7, 9)]
-    notes = spark.createDataFrame([(60, 0, 1.0, True, False), (60, 1, 1.0, False, True), (60, 2, 1.0, False, True)], "p int, at int, d double, starts boolean, stops boolean")
-    assert sorted(tuple(r) for r in timeline.fold_ties(notes, ["p"], "at", "d", "starts", "stops").collect()) == [(60, 0, 2.0), (60, 2, 1.0)]
-    x = [one(spark, timeline.bin_of(F.lit(v), [1.0, 2.0, 3.0]))[0] for v in (0.0, 1.0, 2.5, 9.0)]
-    assert x == [1, 2, 3, 3]
+def test_slugs_equal_their_definition(spark):
+    """The rule written out: decompose, keep ASCII letters and digits, one hyphen for each run of separators."""
+
+    def brute(text):
+        plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
+        out = []
+        for c in plain:
+            if c.isalnum():
+                out.append(c)
+            elif (c.isspace() or c in "-_/") and out and out[-1] != "-":
+                out.append("-")
+        return "".join(out).strip("-") or "untitled"
+
+    texts = ["Ő Łódź ā", "½ ﬁne Ⅳ 𝐀bc ①", "  a--b__c/d  ", "ñandú—x", "", "日本", "a\x1cb\u00a0c", "Çédille ßtraße", "ÅngströM/Ωhm", "_-/", "e\u0301x"]
+    texts += [f"x{chr(c)}y{chr(c)}" for c in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFF60)]]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", C.slugify(F.col("t")).alias("s")).collect()
+    assert {r.k: r.s for r in got} == {k: brute(t) for k, t in enumerate(texts)}
+
 
+@pytest.mark.parametrize(("raw", "usual"), [("CM9", "CM9"), ("CM6", "Cm6"), ("CM7", "Cmaj7"), ("CM", "C"), ("Emin/x", "Em/x"), ("E min / g#", "Em/G#"), ("BΔ7", "Bmaj7"), ("BΔ", "Bmaj7"), ("Bø", "Bm7b5"), ("hello", "hello"), ("Am/", "Am/"), ("Bb7/D/F", "Bb7/D/F"), ("f♯-", "F#m"), ("G–7", "G-7"), ("", ""), ("  ", ""), ("Dsus2", "Dsus2"), ("aMAJ7", "Amaj7"), ("A##m", "A##m")])
+def test_chord_symbols(spark, raw, usual):
+    assert one(spark, C.chord_symbol(F.lit(raw))) == [usual]
 
-def test_matching_rules_differ():
-    a, b = np.array([0.0, 1.0]), np.array([0.9, 5.0])
-    assert matching.closest_pairs(a, b, 2) == [(1, 0)]
-    assert matching.nearest_unused(a, b, 2) == [(0, 0)]
 
+def test_harmonies(spark):
+    null = F.lit(None).cast("string")
+    call = lambda step, alter, text, kind, bass=None: C.harmony_symbol(F.lit(step), F.lit(alter), F.lit(text).cast("string"), F.lit(kind), F.lit(bass).cast("string"), F.lit(-1))
+    assert one(spark, call("D", 0, "", "minor"), call("C", None, None, "major-seventh"), call("F", 1, "7", "dominant"), call("B", -1, " ", "major", "E"), call("H", 0, None, "major"), call("A", 0, None, None), null) == ["Dm", "Cmajor-seventh", "F#7", "Bb/Eb", None, None, None]
 
-@given(st.text("abc", max_size=8), st.text("abc", max_size=8))
-def test_alignment_is_a_least_edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
-        row = new
-    found = matching.edits(a, b)
-    assert found["substituted"] + found["inserted"] + found["deleted"] == row[-1]
 
+def test_staff_and_keys(spark):
+    lines = F.array(*(F.lit(float(y)) for y in (0, 10, 20, 30, 40)))
+    at = lambda y, k=0: C.staff_pitch(F.lit(float(y)), lines, F.lit(k))
+    assert one(spark, at(40), at(35), at(0), at(0, 1), at(20, -1), at(45), C.staff_pitch(F.lit(-5.0), lines)) == [64, 65, 77, 78, 70, 62, 79]
+    assert one(spark, C.key_map(F.lit(2)), C.key_map(F.lit(-3)), C.key_map(F.lit(0)), C.key_map(F.lit(8))) == [{"F": 1, "C": 1}, {"B": -1, "E": -1, "A": -1}, {}, None]
 
-def test_rising_matches():
-    assert matching.rising_matches([1, 2, 3], "abc", "ac") == [0, 2]
-    assert matching.rising_matches([1, 2, 3], "cab", "abc") == [1, 2, None]
 
+def test_hashes(spark):
+    value = F.struct(F.lit(1).alias("a"), F.lit('é😀"\\x/').alias("b"), F.array(F.lit(2), F.lit(1)).alias("c"))
+    expected = json.dumps({"a": 1, "b": 'é😀"\\x/', "c": [2, 1]}, sort_keys=True, separators=(",", ":"))
+    assert one(spark, C.canonical_hash(value)) == [hashlib.sha256(expected.encode()).hexdigest()]
+    bag = F.array(*(F.array(*map(F.lit, x)) for x in ((3, 1), (0, 2), (0, 2))))
+    assert one(spark, C.events_hash(bag)) == [hashlib.sha256(b"[[0,2],[0,2],[3,1]]").hexdigest()]
+    a, b = F.array(*map(F.lit, "aabc")), F.array(*map(F.lit, "abbd"))
+    assert one(spark, C.common_count(a, b), C.same_bag(a, F.reverse(a)), C.same_bag(a, b), C.common_count(a, F.lit(None).cast("array<string>"))) == [2, True, False, 0]
 
-def test_models():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 2))
-    y = (x[:, 0] > 0).astype(int)
-    w = models.logistic(x, y)
-    assert ((x @ w[:2] + w[2] > 0) == y).mean() > 0.95
-    assert models.pairwise_ranker([(x, y)])[0] > 0
+
+def test_shift_tolerant_jaccard(spark):
+    square = [0, 0b0110, 0b0110, 0]
+    rows = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    moved, other, blank = [0b0110 << 1, 0b0110 << 1, 0, 0], [0b1111, 0b1111, 0b1111, 0b1111], [0, 0, 0, 0]
+    assert one(spark, C.shift_jaccard(rows(square), rows(moved), 6), C.shift_jaccard(rows(square), rows(other), 6, 0, 0), C.shift_jaccard(rows(blank), rows(blank), 6), C.shift_jaccard(rows(square), rows(blank), 6)) == [1.0, 0.25, 1.0, 0.0]
+
+
+def test_times_and_labels(spark):
+    a, b = F.lit("2024-01-02 03:04:05.25").cast("timestamp"), F.lit("2024-01-02 03:04:05").cast("timestamp")
+    assert one(spark, C.iso_time(a), C.iso_time(b), C.elapsed_seconds(b, a), C.elapsed_seconds(a, b)) == ["2024-01-02T03:04:05.250000Z", "2024-01-02T03:04:05Z", 0.25, 0.0]
+    assert one(spark, C.without_labels(F.lit('"Am"A2 "x"B|')), C.plain_accidentals(F.lit(" B♭m/F♯ "))) == ["A2 B|", "Bbm/F#"]
+
+
+def test_timeline(spark):
+    rows = spark.createDataFrame([(1, 0, 5), (1, 3, 7), (1, 9, 10), (1, 10, 12)], "g int, s int, e int")
+    assert sorted(map(tuple, timeline.merged_intervals(rows, ["g"], "s", "e").collect())) == [(1, 0, 7), (1, 9, 12)]
+    assert [tuple(r) for r in timeline.gaps(rows, ["g"], "s", "e").collect()] == [(1, 7, 9)]
+    notes = spark.createDataFrame([(60, 0, 1.0, True, False), (60, 1, 1.0, False, True), (60, 2, 1.0, False, True)], "p int, at int, d double, starts boolean, stops boolean")
+    assert sorted(tuple(r) for r in timeline.fold_ties(notes, ["p"], "at", "d", "starts", "stops").collect()) == [(60, 0, 2.0), (60, 2, 1.0)]
+    between = spark.createDataFrame([(60, 0, 1.0, True, False), (60, 1, 1.0, False, False), (60, 2, 1.0, True, True), (60, 3, 1.0, False, True), (60, 4, 1.0, False, True)], notes.schema)
+    assert sorted(tuple(r) for r in timeline.fold_ties(between, ["p"], "at", "d", "starts", "stops").collect()) == [(60, 0, 3.0), (60, 1, 1.0), (60, 4, 1.0)]
+    x = [one(spark, timeline.bin_of(F.lit(v), [1.0, 2.0, 3.0]))[0] for v in (0.0, 1.0, 2.5, 9.0)]
+    assert x == [1, 2, 3, 3]
 
 
 SCORE = b"""<score-partwise><part id="P1"><measure number="1"><attributes><divisions>2</divisions><time><beats>3</beats><beat-type>4</beat-type></time></attributes>
@@ -81,6 +113,26 @@ def test_score_source(spark, tmp_path):
     assert {r.time_signature for r in rows} == {"3/4"}
 
 
+def test_scores_that_cannot_be_read():
+    assert [e for e in scores.score_events(SCORE.replace(b"<kind>minor</kind>", b"<kind text=' '>major-seventh</kind>")) if e[0] == "chord"][0][6] == "Amajor-seventh"
+    for old, new in ((b"<root-step>A</root-step>", b""), (b"<kind>minor</kind>", b""), (b"<time>", b"<x>"), (b"<part id=", b"<other id=")):
+        with pytest.raises(ValueError):
+            list(scores.score_events(SCORE.replace(old, new).replace(b"</time>", b"</x>" if new == b"<x>" else b"</time>").replace(b"</part>", b"</other>" if b"other" in new else b"</part>")))
+
+
+def test_rectangles(spark, tmp_path):
+    region = lambda name, x: {"shape_attributes": {"name": name, "x": x, "y": 1, "width": 4, "height": 9}}
+    (tmp_path / "v.json").write_text(json.dumps({"a1": {"filename": "a.png", "size": 3, "regions": [region("rect", 10), region("circle", 5), region("rect", 2)]}}))
+    got = scores.rectangles(spark, str(tmp_path / "v.json")).orderBy("x").collect()
+    assert [(r.filename, r.x, r.x_center) for r in got] == [("a.png", 2.0, 4.0), ("a.png", 10.0, 12.0)]
+
+
+def test_manifest_round_trip(spark, tmp_path):
+    works = spark.createDataFrame([("a", "p/a.pdf", "A", "C", "Vals", None, "G", None)], "slug string, pdf_path string, title string, composer string, rhythm string, time_signature string, key_hint string, tempo_hint string")
+    scores.write_manifest(works, str(tmp_path / "m"))
+    assert [(r.slug, r.metadata.title, r.metadata.key_hint, r.metadata.tempo_hint) for r in scores.manifest(spark, str(tmp_path / "m")).collect()] == [("a", "A", "G", None)]
+
+
 def test_metadata_source(spark, tmp_path):
     (tmp_path / "m.csv").write_text('title,genre,author,pdf_file\n"Uno, dos",Vals,Ana,a.pdf\nUno dos,Vals,,b.pdf\n')
     works, problems = scores.metadata_csv(spark, str(tmp_path / "m.csv"))
