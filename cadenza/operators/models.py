@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import dot, sigmoid
+
 
 def standardized(df: DataFrame, columns: list[str], floor: float = 1e-6) -> DataFrame:
     """Columns less their means, over population deviations of at least `floor`."""
@@ -40,21 +43,59 @@ def naive_bayes_ratio(df: DataFrame, label: str, columns: list[str], add: float
     return df.crossJoin(F.broadcast(m)).select(*df.columns, score.alias("score"))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, *, l2: float = 0.01, rate: float = 0.1, steps: int = 1200) -> np.ndarray:
-    """Weights and intercept of a class-balanced logistic model, by fixed gradient steps."""
+def logistic(x: np.ndarray, y: np.ndarray, *, l2: float = 1.0, rate: float = 0.08, slower: float = 500.0, steps: int = 1200) -> np.ndarray:
+    """Weights and intercept of a class-balanced logistic model, by a fixed number of gradient steps, each shorter than the one before. The penalty is l2 over the number of rows."""
     x1 = np.c_[x, np.ones(len(x))]
     weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
     w = np.zeros(x1.shape[1])
-    ridge = np.r_[np.full(x.shape[1], l2), 0]
-    for _ in range(steps):
-        w -= rate * (x1.T @ (weight * (1 / (1 + np.exp(-x1 @ w)) - y)) + ridge * w)
+    ridge = np.r_[np.full(x.shape[1], l2 / max(len(x), 1)), 0]
+    for step in range(steps):
+        w -= rate / (1 + step / slower) * (x1.T @ (weight * (1 / (1 + np.exp(-np.clip(x1 @ w, -60, 60))) - y)) + ridge * w)
+    return w
+
+
+def ranker(differences: np.ndarray, *, l2: float = 1.0, rate: float = 0.06, slower: float = 400.0, steps: int = 1000) -> np.ndarray:
+    """Weights under which differences of a better and a worse row are positive: a logistic model without intercept, by gradient steps."""
+    d, w = np.asarray(differences, float), np.zeros(np.shape(differences)[1])
+    for step in range(steps):
+        w -= rate / (1 + step / slower) * ((l2 * w - d.T @ (1 / (1 + np.exp(np.clip(d @ w, -60, 60))))) / max(len(d), 1))
     return w
 
 
-def pairwise_ranker(groups: list[tuple[np.ndarray, np.ndarray]], **options) -> np.ndarray:
-    """Weights that rank positives over negatives of the same group: a logistic model of the pairs' differences."""
-    diffs = [p - n for x, y in groups for p in x[y == 1] for n in x[y == 0]]
-    if not diffs:
-        return np.zeros(groups[0][0].shape[1] if groups else 0)
-    d = np.array(diffs)
-    return logistic(np.r_[d, -d], np.r_[np.ones(len(d)), np.zeros(len(d))], **options)[:-1]
+def fit_logistic(df: DataFrame, by: list[str], label: str, features: list[str], **options) -> DataFrame:
+    """(by, weights, intercept) of a logistic model for each group of training rows (a fold, say). A group is fitted in one task, so it has to be a sample that fits there."""
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    rows = df.select(*by, F.array(*(F.col(c).cast("double") for c in features)).alias("__x"), F.col(label).cast("double").alias("__y"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x = np.array(table.column("__x").to_pylist(), float).reshape(len(table), len(features))
+        w = logistic(x, table.column("__y").to_numpy(), **options)
+        return pa.table({**{c: pa.array([k.as_py()], table.schema.field(c).type) for c, k in zip(by, key, strict=False)}, "weights": pa.array([w[:-1].tolist()]), "intercept": pa.array([w[-1]])})
+
+    return rows.groupBy(*by).applyInArrow(run, kinds + "weights array<double>, intercept double")
+
+
+def score_logistic(rows: DataFrame, model: DataFrame, by: list[str], features: list[str]) -> DataFrame:
+    """Rows with their probability under their group's model (few groups)."""
+    named = model.select(*by, F.col("weights").alias("__w"), F.col("intercept").alias("__b"))
+    joined = rows.join(F.broadcast(named), by) if by else rows.crossJoin(F.broadcast(named))
+    return joined.withColumn("score", sigmoid(dot(F.array(*(F.col(c).cast("double") for c in features)), F.col("__w")) + F.col("__b"))).drop("__w", "__b")
+
+
+def label_pairs(df: DataFrame, unit: list[str], key: str, label: str, features: list[str]) -> DataFrame:
+    """(unit, positive, negative, differences of the features): each positive with each negative of its unit. A unit is a measure with some dozen candidates."""
+    side = lambda v, name: df.where(F.col(label) == v).select(*unit, F.col(key).alias(name), *(F.col(c).cast("double").alias(f"__{name}_{c}") for c in features))
+    pairs = side(1, "positive").join(side(0, "negative"), unit)
+    return pairs.select(*unit, "positive", "negative", *((F.col(f"__positive_{c}") - F.col(f"__negative_{c}")).alias(c) for c in features))
+
+
+def fit_ranker(df: DataFrame, by: list[str], unit: list[str], key: str, label: str, features: list[str], **options) -> DataFrame:
+    """(by, weights) that rank positives over negatives of the same unit, for each group of training rows; its pairs are fitted in one task."""
+    pairs = label_pairs(df, [*by, *(u for u in unit if u not in by)], key, label, features)
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        w = ranker(np.array(table.column("__d").to_pylist(), float).reshape(len(table), len(features)), **options)
+        return pa.table({**{c: pa.array([k.as_py()], table.schema.field(c).type) for c, k in zip(by, group, strict=False)}, "weights": pa.array([w.tolist()])})
+
+    return pairs.select(*by, F.array(*features).alias("__d")).groupBy(*by).applyInArrow(run, kinds + "weights array<double>")

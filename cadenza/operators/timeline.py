@@ -69,9 +69,18 @@ def bin_of(x: Column, edges: list[float]) -> Column:
     return out
 
 
-def stab(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str) -> DataFrame:
-    """Pairs with start <= point < end, by joining the points to the points' cells that an interval covers is left to the caller; points are few."""
-    return intervals.join(F.broadcast(points), (F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
+def stab(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, *, cell: float, by: list[str] | None = None) -> DataFrame:
+    """Pairs with start <= point < end. An interval stands in each cell of width `cell` that it covers, a point in its own, so they meet by equality and each pair once."""
+    tall = intervals.where(F.col(start) < F.col(end)).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor(F.col(end) / cell))))
+    return tall.join(points.withColumn("__cell", F.floor(F.col(at) / cell)), [*(by or []), "__cell"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("__cell")
+
+
+def state_spans(df: DataFrame, by: list[str], order: list[str], at: str, value: str, edge: int) -> DataFrame:
+    """(by, value, at, e): each run of a value as a span from its first row to the next run's, cut where a multiple of `edge` is passed and where one ends it."""
+    rows = runs(df, by, order, value).withColumn("__d", F.floor(F.col(at) / edge))
+    spans = rows.groupBy(*by, "run", "__d").agg(F.min(value).alias(value), F.min(at).alias(at))
+    stop = (F.col("__d") + 1) * edge
+    return spans.select(*by, value, at, F.least(F.coalesce(F.lead(at).over(W.partitionBy(*by).orderBy(at, "run")), stop), stop).alias("e"))
 
 
 def runs(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -92,11 +101,14 @@ def simultaneities(notes: DataFrame, by: list[str], at: str, pitch: str, duratio
 
 
 def fold_ties(notes: DataFrame, by: list[str], at: str, duration: str, starts: str, stops: str) -> DataFrame:
-    """Notes with tied ones made one: a stop goes on the note before it of its group if that began or went on a tie; else it begins a note."""
+    """Notes of a pitch (in `by`) with tied ones made one: a note that ends a tie goes on the last one that begins one, if no other ended it since; else it begins a note. Notes
+    without ties in between stay by themselves."""
     w = W.partitionBy(*by).orderBy(at)
-    new = F.when(F.col(stops) & F.coalesce(F.lag(starts).over(w), F.lit(False)), 0).otherwise(1)
-    marked = notes.withColumn("__new", new).withColumn("__note", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "__note").agg(F.min(at).alias(at), F.sum(duration).alias(duration)).drop("__note")
+    tied = F.col(starts) | F.col(stops)
+    before = F.last(F.when(tied, F.col(starts)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    new = F.when(F.col(stops) & F.coalesce(before, F.lit(False)), 0).otherwise(1)
+    marked = notes.withColumn("__new", F.when(tied, new).otherwise(0)).withColumn("__chain", F.when(tied, F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))).withColumn("__own", F.when(~tied, F.row_number().over(w)))
+    return marked.groupBy(*by, "__chain", "__own").agg(F.min(at).alias(at), F.sum(duration).alias(duration)).drop("__chain", "__own")
 
 
 def dense_measures(events: DataFrame, by: list[str], measure: str) -> DataFrame:
