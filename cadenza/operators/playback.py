@@ -16,7 +16,7 @@ def section_plan(orders: DataFrame, labels: DataFrame, ends: DataFrame, by: str)
     """(sections (by, name, start, end), problems) of works with an order of sections (by, parts), labels (by, name, start) and the end of their music (by, end).
 
     An order has 1 to 128 letters A to Z, blanks apart; each is a label; labels are single letters, each once, the first at 0; a section ends where the next one starts and isn't empty."""
-    letters = F.regexp_replace("parts", r"\\s", "")
+    letters = F.regexp_replace("parts", r"\s", "")
     named = labels.select(by, F.trim("name").alias("name"), "start").join(orders.select(by), by, "left_semi")
     w = W.partitionBy(by).orderBy("start", "name")
     sections = named.join(ends, by, "left").select(by, "name", "start", F.coalesce(F.lead("start").over(w), "end").alias("end"))

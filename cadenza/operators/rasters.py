@@ -460,3 +460,54 @@ def system_staffs(picture: np.ndarray, *, support: float = 0.45) -> list[tuple[i
             if some[0] is lines[k] and 6 <= mean <= 80 and (off := max(abs(b - a - mean) for a, b in zip(rows, rows[1:], strict=False)) / mean) <= 0.3:
                 staves.append({"top": rows[0], "bottom": rows[4], "spacing": mean, "deviation": off, "support": sum(s for s, _ in some) / 5, "rows": rows})
     return [(int(staves[k]["top"]), int(staves[k]["bottom"]), [float(r) for r in staves[k]["rows"]]) for k in distinct_staves(staves)]
+
+
+def column_runs(dark: np.ndarray, tolerance: int = 1) -> np.ndarray:
+    """The longest vertical run of ink in each column, ink within `tolerance` columns counting."""
+    height, width = dark.shape
+    wide = np.pad(dark, ((0, 0), (tolerance, tolerance)))
+    near = np.zeros_like(dark)
+    for k in range(2 * tolerance + 1):
+        near |= wide[:, k : k + width]
+    best, now = np.zeros(width, int), np.zeros(width, int)
+    for row in near:
+        now = np.where(row, now + 1, 0)
+        best = np.maximum(best, now)
+    return best
+
+
+def barlines(picture: np.ndarray, top: int, bottom: int, *, least: float = 0.85, gap: float = 0.03, tolerance: int = 1) -> list[float]:
+    """Places, as shares of the width, of columns whose ink runs over most of a staff's height: local maxima within two columns, one within `gap` of the width, the longer one of those too near."""
+    dark = picture[max(0, top) : bottom + 1] < ink_threshold(picture)
+    runs, width = column_runs(dark, tolerance), picture.shape[1]
+    peaks: list[int] = []
+    for x in np.flatnonzero(runs >= least * dark.shape[0]).tolist():
+        if runs[x] < runs[max(0, x - 2) : x + 3].max():
+            continue
+        if peaks and x - peaks[-1] < max(1, int(width * gap)):
+            if runs[x] > runs[peaks[-1]]:
+                peaks[-1] = x
+        else:
+            peaks.append(x)
+    return [x / width for x in peaks]
+
+
+def collage(pictures: list[np.ndarray], space: int = 24) -> np.ndarray:
+    """Pictures under each other on white, left edges aligned, `space` rows between."""
+    width = max(p.shape[1] for p in pictures)
+    rows = []
+    for k, p in enumerate(pictures):
+        rows += [np.full((space, width), 255, np.uint8)] * bool(k) + [np.pad(p, ((0, 0), (0, width - p.shape[1])), constant_values=255)]
+    return np.concatenate(rows)
+
+
+def page_collages(pictures: DataFrame, page: str, order: str, space: int = 24) -> DataFrame:
+    """(page, width, height, pixels): a page's pictures put under each other in order."""
+    kind = pictures.schema[page].dataType.simpleString()
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"]) for r in rows.sort_by(order).to_pylist()]
+        whole = collage(parts, space)
+        return pa.table({page: pa.array([key[0].as_py()], rows.schema.field(page).type), "width": pa.array([whole.shape[1]], pa.int32()), "height": pa.array([whole.shape[0]], pa.int32()), "pixels": pa.array([whole.tobytes()], pa.binary())})
+
+    return pictures.select(page, order, "width", "height", "pixels").groupBy(page).applyInArrow(run, f"`{page}` {kind}, width int, height int, pixels binary")

@@ -343,3 +343,48 @@ def rhythm_summary(report: DataFrame) -> DataFrame:
     recall = F.when(tp + fn > 0, tp / (tp + fn)).otherwise((fp == 0).cast("double"))
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
     return s.select("*", F.round(C.safe_ratio(F.col("duration_correct"), F.col("duration_total")), 6).alias("duration_accuracy"), F.round(precision, 6).alias("rest_precision"), F.round(recall, 6).alias("rest_recall"), F.round(f1, 6).alias("rest_f1"))
+
+
+LEADING_REST, LEADING_GAP = 0.5, 3.0
+
+
+def compose(heads: Sequence[dict], rests: Sequence[dict], expected: float | None, pickup: bool) -> dict:
+    """A measure's events from repaired heads (id, group, x, pitch, duration, costs; x in staff spaces) and seen rests (x, duration, costs): groups in order of x with the first head's
+    duration, rests between them; half a beat of silence goes first if just that is missing and there is room; then the meter is fitted, with rests added at the end if that can't be.
+
+    (status, notes: id, pitch, onset, duration; rests: onset, duration). Without a meter nothing is timed."""
+    if expected is None:
+        return {"status": "missing_expected_meter", "notes": [{"id": h["id"], "pitch": h["pitch"], "onset": None, "duration": None} for h in heads], "rests": []}
+    groups: dict[int, list[dict]] = {}
+    for h in sorted(heads, key=lambda h: (h["group"], h["x"], str(h["id"]))):
+        groups.setdefault(h["group"], []).append(h)
+    symbols = [{"kind": "note", "x": sum(h["x"] for h in g) / len(g), "duration": g[0]["duration"], "costs": g[0].get("costs"), "heads": g} for g in groups.values()]
+    extent = sum(s["duration"] for s in symbols)
+    silent = [{"kind": "rest", **r} for r in rests]
+    if not pickup and symbols and abs(expected - extent - LEADING_REST) < 1e-9 and min(h["x"] for h in heads) >= LEADING_GAP:
+        silent = [{"kind": "rest", "x": -1.0, "duration": LEADING_REST, "costs": {}}]
+    symbols = sorted([*symbols, *silent], key=lambda s: s["x"])
+    lengths, status = decode_meter(symbols, expected, pickup)
+    if abs(sum(lengths) - expected) > 1e-9 and not (pickup and sum(lengths) <= expected):
+        room = sum(3 if s["kind"] == "rest" else 4 for s in symbols)
+        while room < round(expected * 2):
+            symbols.append({"kind": "rest", "x": symbols[-1]["x"] + 1 if symbols else 0.0, "duration": 0.5, "costs": {0.5: 1.0, 1.0: 0.8, 1.5: 0.9}})
+            room += 3
+        lengths, fitted = decode_meter(symbols, expected, pickup)
+        status = f"meter_fallback:{fitted}"
+    out, at = {"status": status, "notes": [], "rests": []}, 0.0
+    for s, length in zip(symbols, lengths, strict=True):
+        if s["kind"] == "note":
+            out["notes"] += [{"id": h["id"], "pitch": h["pitch"], "onset": at, "duration": length} for h in s["heads"]]
+        else:
+            out["rests"].append({"onset": at, "duration": length})
+        at += length
+    return out
+
+
+def composed(df: DataFrame, heads: str, rests: str, expected: str, pickup: str, out: str = "events") -> DataFrame:
+    """Rows with the events of `compose`; costs are maps from a duration as text."""
+    given = df.withColumn("__given", F.struct(F.col(heads).alias("h"), F.col(rests).alias("r"), F.col(expected).cast("double").alias("e"), F.col(pickup).alias("p")))
+    plain = lambda items: [{**i, "costs": {float(k): v for k, v in (i.get("costs") or ())}} for i in items or ()]
+    kind = "struct<status:string,notes:array<struct<id:string,pitch:int,onset:double,duration:double>>,rests:array<struct<onset:double,duration:double>>>"
+    return mapped(given, "__given", lambda x: compose(plain(x["h"]), plain(x["r"]), x["e"], bool(x["p"])), kind, out).drop("__given")

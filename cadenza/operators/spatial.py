@@ -238,8 +238,8 @@ def suppress(df: DataFrame, by: list[str], key: str, at: list[str], score: str,
     return placed.where(F.col("place") <= most if most else F.lit(True)).select(*by, key, "place")
 
 
-def select_heads(df: DataFrame, by: list[str], *, threshold: float, x_radius: float, least: int, most: int, y_gap: float | None = None) -> DataFrame:
-    """Candidates (by, id, x, y, score, rank; x and y in staff spaces) that a selector keeps, in the order it takes them (column place).
+def select_heads(df: DataFrame, by: list[str], *, threshold: float | str, x_radius: float, least: int, most: int, y_gap: float | None = None) -> DataFrame:
+    """Candidates (by, id, x, y, score, rank; x and y in staff spaces) that a selector keeps, in the order it takes them (column place). A threshold may be a column of `by`.
 
     By falling score, then rank, then id: first those at the threshold or above, then, while fewer than `least`, others. A
     candidate conflicts with a kept one within `x_radius` on x, and, if `y_gap` is given, nearer than that on y. Without `y_gap`
@@ -261,7 +261,8 @@ def select_heads(df: DataFrame, by: list[str], *, threshold: float, x_radius: fl
                 return False
             return y_gap is None or bool(near) or groups([x[j] for j in kept]) < most
 
-        good = [k for k in range(len(rows)) if rows.score[k] >= threshold]
+        least_score = rows[threshold].iloc[0] if isinstance(threshold, str) else threshold
+        good = [k for k in range(len(rows)) if rows.score[k] >= least_score]
         for k in good:
             if y_gap is None and len(kept) >= most:
                 break
@@ -411,3 +412,70 @@ def union_candidates(grid: DataFrame, stems: DataFrame, by: list[str], *, x_reac
         return pd.DataFrame([(*(first[c] for c in by), f"u{k:03d}", r["x"], r["y"], r["grid"], sorted(r["stems"]), r["score"]) for k, r in enumerate(rows, 1)], columns=[*by, "id", "x", "y", "grid_ids", "stem_ids", "score"])
 
     return grid.select(*by, "id", "x", "y", "rank").groupBy(*by).cogroup(stems.select(*by, "x", "y", "score").groupBy(*by)).applyInPandas(run, f"{kinds}, id string, x double, y double, grid_ids array<string>, stem_ids array<string>, score double")
+
+
+def sweep_heads(df: DataFrame, thresholds: DataFrame, by: list[str], truth: DataFrame, match_within: float, **selector) -> DataFrame:
+    """(threshold, tp, fp, fn, kept, exact, precision, recall, f1): the selector run on every group at each of a few thresholds, its heads matched with the truth (by, id, x, y) by distance."""
+    grid = [float(r.threshold) for r in thresholds.select("threshold").distinct().collect()]  # a budget of some dozens, see threshold_grid
+    at = F.explode(F.array(*map(F.lit, grid))).alias("threshold")
+    rows, keys = df.select("*", at), ["threshold", *by]
+    chosen = select_heads(rows, keys, threshold="threshold", **selector).join(rows.select(*keys, "id", "x", "y"), [*keys, "id"])
+    wanted = truth.select("*", at)
+    report = match_report(match(chosen, wanted, keys, "id", ["x", "y"], match_within, closest_pairs), chosen, wanted, keys)
+    sums = report.groupBy("threshold").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), F.count(F.when(F.col("exact") & (F.col("fp") == 0), 1)).alias("exact"))
+    scores = C.precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn"))
+    return sums.select("*", (F.col("tp") + F.col("fp")).alias("kept"), *(c.alias(n) for c, n in zip(scores, ("precision", "recall", "f1"), strict=True)))
+
+
+#: Limits of a pair of heads on one stem with dots behind it, in staff spaces and scores.
+DYAD = {"dx": 0.5, "dy": (0.8, 1.2), "score": 0.0, "shared_stem": 0.55, "other_stem": 0.25, "stem_margin": 0.4, "least_x": 1.0, "staff_margin": 0.5, "dot_dx": (0.75, 2.5), "dot_dy": 0.2, "dots_dx": 0.5, "dot_score": 0.0, "dot_stem": 0.35}
+
+
+def propose_dyad(rows: list[dict], x_radius: float, limits: dict = DYAD) -> dict:
+    """Whether two kept heads of two onsets give way to a pair on one stem: `status`, `current`, `proposed` ids.
+
+    Rows are candidates (id, x, y, left, right, score, rank, stem_x, stem_score, kept; x and y in staff spaces, y from the top line, so that the staff is 0 to 4). A pair lies near on x, about a space
+    apart on y, on or near the staff, a strong stem of one passes both, and each has a weak blob behind it at its height, both one above the other. All pairs must lie at one place; the
+    best is taken, unless it is at the very left, and if every head it displaces has a weak stem or is off the staff."""
+    on_staff = lambda r: -limits["staff_margin"] <= r["y"] <= 4 + limits["staff_margin"]
+    current = sorted((r for r in rows if r["kept"]), key=lambda r: (r["x"], r["y"], r["id"]))
+    out = {"status": "accepted", "current": [r["id"] for r in current], "proposed": []}
+    if len(current) != 2:
+        return out | {"status": "rejected_current_candidate_count"}
+    if current[1]["x"] - current[0]["x"] < x_radius:
+        return out | {"status": "rejected_current_onset_group_count"}
+    pairs = []
+    for k, a in enumerate(rows):
+        for b in rows[k + 1 :]:
+            near = abs(a["x"] - b["x"]) <= limits["dx"] and limits["dy"][0] <= abs(a["y"] - b["y"]) <= limits["dy"][1]
+            if not near or min(a["score"], b["score"]) < limits["score"] or not (on_staff(a) and on_staff(b)) or min(a["stem_score"], b["stem_score"]) < limits["other_stem"]:
+                continue
+            stems = [r["stem_x"] for r in (a, b) if r["stem_x"] is not None and r["stem_score"] >= limits["shared_stem"]]
+            if not any(all(h["left"] - limits["stem_margin"] <= x <= h["right"] + limits["stem_margin"] for h in (a, b)) for x in stems):
+                continue
+            behind = max(a["x"], b["x"])
+            dots = [[d for d in rows if d is not a and d is not b and limits["dot_dx"][0] <= d["x"] - behind <= limits["dot_dx"][1] and abs(d["y"] - h["y"]) <= limits["dot_dy"] and d["score"] <= limits["dot_score"] and d["stem_score"] <= limits["dot_stem"]] for h in (a, b)]
+            if any(abs(p["x"] - q["x"]) <= limits["dots_dx"] for p in dots[0] for q in dots[1]):
+                pairs.append((a, b))
+    pairs.sort(key=lambda p: p[0]["x"] + p[1]["x"])
+    centres = [(a["x"] + b["x"]) / 2 for a, b in pairs]
+    if not pairs or any(q - p >= x_radius for p, q in zip(centres, centres[1:], strict=False)):
+        return out | {"status": "rejected_sparse_pair_cluster_count"}
+    best = max(pairs, key=lambda p: (p[0]["score"] + p[1]["score"], min(p[0]["stem_score"], p[1]["stem_score"]), -abs(p[0]["x"] - p[1]["x"]), sorted(r["id"] for r in p)))
+    out["proposed"] = [r["id"] for r in sorted(best, key=lambda r: (r["x"], r["y"], r["id"]))]
+    displaced = [r for r in current if r["id"] not in out["proposed"]]
+    if min(r["x"] for r in best) < limits["least_x"]:
+        return out | {"status": "rejected_leading_edge_pair"}
+    if not displaced:
+        return out | {"status": "already_selected"}
+    if any(r["stem_score"] >= limits["shared_stem"] and on_staff(r) for r in displaced):
+        return out | {"status": "rejected_strong_displaced_candidate"}
+    return out
+
+
+def dyads(df: DataFrame, by: list[str], x_radius: float) -> DataFrame:
+    """(by, decision) of propose_dyad for each measure."""
+    from .sequences import gathered, mapped
+
+    rows = gathered(df, by, ["rank", "id"])
+    return mapped(rows, "items", lambda items: propose_dyad(items, x_radius), "struct<status:string,current:array<string>,proposed:array<string>>", "decision").drop("items")

@@ -194,7 +194,7 @@ class Tune:
 
     def place(self, voice: Voice, length: Fraction, heads: list[tuple[int, Fraction, bool]] | None, visible: bool = True) -> None:
         """Put a note, chord (heads with their own lengths) or rest where the voice is."""
-        length *= voice.stretch
+        length, heads = length * voice.stretch, heads and [(p, n * voice.stretch, t) for p, n, t in heads]
         voice.stretch = Fraction(1)
         if voice.tuplet:
             ratio, left = voice.tuplet
@@ -341,6 +341,8 @@ def bars_of(tune: Tune) -> dict:
     if not synchronised(voices):
         raise Unreadable("voices whose barlines don't agree")
     end = max(e["time"] + e["length"] for v in voices for e in v.events)
+    if end <= 0:
+        raise Unreadable("a tune that takes no time")
     edges = sorted({Fraction(0), end, *(t for v in voices for t, _, _ in v.bars if 0 < t < end)})
     bars = []
     for k, (start, stop) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -64,7 +64,7 @@ def transcription(answers: DataFrame, text: str) -> DataFrame:
             number(i["notehead_x_fraction"], "double").alias("notehead_x_fraction"), number(i["notehead_y_fraction"], "double").alias("notehead_y_fraction"), number(i["staff_position"], "int").alias("staff_position"), C.optional_text(i["evidence"]).alias("evidence"),
         )
 
-    p = answers.withColumn("__p", parsed)
+    p = answers.withColumn("__p", F.when(F.get_json_object(fenced_json(F.col(text)), "$").isNotNull(), parsed))
     items = F.when(F.col("__p").isNotNull(), F.transform(F.coalesce("__p.items", F.array().cast(f"array<{ITEM}>")), item))
     return p.select(*answers.columns, items.alias("items"), F.coalesce("__p.comments", F.lit("")).alias("comments"), F.trim("__p.overall_confidence").try_cast("double").alias("overall_confidence"), F.filter(F.coalesce("__p.uncertainties", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "").alias("uncertainties"))
 
@@ -265,6 +265,96 @@ def score_backend(requests: DataFrame, fixtures: DataFrame, key: str = "slug") -
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "content") + ", output binary, error string")
 
 
+def external_many(requests: DataFrame, content: str, command: list[str], suffix: str, *, out_suffix: str, timeout: float = 600.0) -> DataFrame:
+    """The same for a program that writes several files: `outputs` (name, content) in order of name, or `error`."""
+
+    def once(blob: bytes) -> tuple[list[dict] | None, str | None]:
+        with tempfile.TemporaryDirectory() as folder:
+            source, target = os.path.join(folder, "input" + suffix), os.path.join(folder, "out")
+            os.mkdir(target)
+            with open(source, "wb") as file:
+                file.write(blob)
+            try:
+                done = subprocess.run([x.format(input=source, folder=target) for x in command], capture_output=True, timeout=timeout, check=False)
+            except (OSError, subprocess.TimeoutExpired) as failure:
+                return None, type(failure).__name__
+            if done.returncode:
+                return None, f"exit {done.returncode}"
+            out = []
+            for name in sorted(n for n in os.listdir(target) if n.endswith(out_suffix)):
+                with open(os.path.join(target, name), "rb") as file:
+                    out.append({"name": name, "content": file.read()})
+            return out, None
+
+    def run(batches):
+        kind = pa.list_(pa.struct([("name", pa.string()), ("content", pa.binary())]))
+        for batch in batches:
+            results = [once(bytes(x)) if x is not None else (None, "no input") for x in batch.column(batch.schema.get_field_index(content)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r[0] for r in results], kind), pa.array([r[1] for r in results], pa.string())], names=[*batch.schema.names, "outputs", "error"])
+
+    return requests.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", outputs array<struct<name:string,content:binary>>, error string")
+
+
+def render_pages(documents: DataFrame, dpi: int = 300, **options) -> DataFrame:
+    """PDF documents (column content) with their pages as grey pictures, by the program pdftoppm on every machine."""
+    return external_many(documents, "content", ["pdftoppm", "-gray", "-r", str(dpi), "{input}", "{folder}/page"], ".pdf", out_suffix=".pgm", **options)
+
+
+def split_pages(documents: DataFrame, **options) -> DataFrame:
+    """PDF documents (column content) with one PDF for each page, by the program pdfseparate on every machine."""
+    return external_many(documents, "content", ["pdfseparate", "{input}", "{folder}/page-%05d.pdf"], ".pdf", out_suffix=".pdf", **options)
+
+
+def previews(tunes: DataFrame, text: str = "abc", programs: tuple[tuple[str, ...], ...] = (("abcm2ps", "-g", "-O", "{folder}/out.svg", "{input}"),)) -> DataFrame:
+    """Tunes with a picture in SVG: of the first program that can draw them, else a plain one with their title."""
+    rows = tunes.withColumn("__blob", F.col(text).cast("binary")).withColumn("svg", F.lit(None).cast("string"))
+    for command in programs:
+        rows = external(rows, "__blob", list(command), ".abc", out_suffix=".svg", timeout=60.0)
+        rows = rows.withColumn("svg", F.coalesce("svg", F.col("output").cast("string"))).drop("output", "error")
+    title = F.regexp_replace(F.regexp_replace(F.coalesce(C.blank_to_null(F.regexp_extract(text, "(?m)^T:[ \t]*(.*)$", 1)), F.lit("untitled")), "&", "&amp;"), "<", "&lt;")
+    plain = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="600" height="60"><text x="10" y="35">'), title, F.lit("</text></svg>"))
+    return rows.withColumn("drawn", F.col("svg").isNotNull()).withColumn("svg", F.coalesce("svg", plain)).drop("__blob")
+
+
+def html_table(df: DataFrame, title: str) -> str:
+    """A page with a table of a report's rows (a few, as reports are aggregates), in order of its columns."""
+    from html import escape
+
+    rows = df.orderBy(*df.columns).limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("a page is for reports of at most 10,000 rows")
+    cells = lambda tag, values: "<tr>" + "".join(f"<{tag}>{escape('' if v is None else str(v))}</{tag}>" for v in values) + "</tr>"
+    return f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><h1>{escape(title)}</h1><table>{cells('th', df.columns)}{''.join(cells('td', r) for r in rows)}</table>"
+
+
+def apply_revisions(history: DataFrame, edits: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(new revisions, conflicts) of edits (by, base_sha256, content, edited_at) on a history (by, revision, sha256, previous_sha256): an edit counts if it was made on the latest revision, of several
+    the first; the others must look at what changed. Work without history starts at revision 1 on no base."""
+    from pyspark.sql import Window as W
+
+    latest = history.groupBy(by).agg(F.max_by(F.struct("revision", "sha256"), "revision").alias("__l"))
+    first = F.row_number().over(W.partitionBy(by, "base_sha256").orderBy("edited_at", F.sha2("content", 256)))
+    rows = edits.withColumn("__k", first).join(latest, by, "left")
+    good = F.col("base_sha256").eqNullSafe(F.col("__l.sha256")) & (F.col("__k") == 1)
+    new = rows.where(good).select(by, (F.coalesce("__l.revision", F.lit(0)) + 1).alias("revision"), F.sha2("content", 256).alias("sha256"), F.col("__l.sha256").alias("previous_sha256"), "content")
+    return new, rows.where(~good).select(*edits.columns)
+
+
+def backup(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Every file under a path with its name, content and hash as one table, which must not exist yet."""
+    root = path.split("://", 1)[-1].rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files.select(F.substring_index("path", root, -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content").write.mode("errorifexists").parquet(target)
+    return spark.read.parquet(target)
+
+
+def backup_problems(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """(name, problem): contents of a backup that don't have their hash, and files under the path that it lacks or holds otherwise."""
+    held = spark.read.parquet(target)
+    broken = held.where(F.sha2("content", 256) != F.col("sha256")).select("name", F.lit("broken in the backup").alias("problem"))
+    return broken.unionByName(differences(held.select("name", "bytes", "sha256"), file_manifest(spark, path)))
+
+
 #: Ways of getting a score from a page: a stored one, or a program on every machine.
 BACKENDS: dict[str, Callable[..., DataFrame]] = {
     "fixture": score_backend,

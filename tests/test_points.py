@@ -182,3 +182,34 @@ def test_components_of_masks(cells):
         mask[y, x] = True
     expected = sorted((min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p), max(y for _, y in p), len(p)) for p in brute_components(cells))
     assert sorted(rasters.components(mask)) == expected
+
+
+def test_sweeps_of_a_selector(spark):
+    rows = [(0, "a", 0.0, 0.0, 0.9, 1), (0, "b", 5.0, 0.0, 0.6, 2), (1, "c", 0.0, 0.0, 0.4, 1), (1, "d", 9.0, 0.0, 0.7, 2)]
+    df = spark.createDataFrame(rows, "g int, id string, x double, y double, score double, rank int")
+    truth = spark.createDataFrame([(0, "t", 0.1, 0.0), (0, "u", 5.0, 0.1), (1, "v", 0.0, 0.0)], "g int, id string, x double, y double")
+    grid = spark.createDataFrame([(0.8,), (0.5,), (0.1,)], "threshold double")
+    got = {r.threshold: (r.tp, r.fp, r.fn, r.exact) for r in spatial.sweep_heads(df, grid, ["g"], truth, 1.0, x_radius=1.0, least=0, most=9).collect()}
+    assert got == {0.8: (1, 0, 2, 0), 0.5: (2, 1, 1, 1), 0.1: (3, 1, 0, 1)}
+
+
+DYAD = "g int, id string, x double, y double, left double, right double, score double, rank int, stem_x double, stem_score double, kept boolean"
+
+
+def test_dyads_on_one_stem(spark):
+    pair = [(0, "a", 3.0, 1.0, 2.6, 3.4, 0.5, 1, 3.4, 0.9, False), (0, "b", 3.1, 2.0, 2.7, 3.5, 0.5, 2, 3.4, 0.3, False)]
+    dots = [(0, "p", 4.2, 1.1, 4.1, 4.3, -0.1, 3, None, 0.1, False), (0, "q", 4.3, 2.1, 4.2, 4.4, -0.1, 4, None, 0.1, False)]
+    old = [(0, "m", 6.0, 9.0, 5.6, 6.4, 0.8, 5, None, 0.9, True), (0, "n", 9.0, 2.0, 8.6, 9.4, 0.8, 6, None, 0.2, True)]
+
+    def decide(rows):
+        r = spatial.dyads(spark.createDataFrame(rows, DYAD), ["g"], 1.0).first().decision
+        return r.status, r.proposed
+
+    assert decide(pair + dots + old) == ("accepted", ["a", "b"])
+    assert decide(pair + old)[0] == "rejected_sparse_pair_cluster_count"
+    assert decide(pair + dots + old[:1])[0] == "rejected_current_candidate_count"
+    assert decide(pair + dots + [old[1], (*old[1][:2], 9.2, *old[1][3:])])[0] == "rejected_current_onset_group_count"
+    strong = [old[0], (*old[1][:9], 0.9, True)]
+    assert decide(pair + dots + strong)[0] == "rejected_strong_displaced_candidate"
+    left = [(0, r[1], r[2] - 2.5, r[3], r[4] - 2.5, r[5] - 2.5, *r[6:8], r[8] and r[8] - 2.5, *r[9:]) for r in pair + dots]
+    assert decide(left + old)[0] == "rejected_leading_edge_pair"

@@ -207,3 +207,19 @@ def test_rhythm_reports(spark):
     assert rows[1].exact_rhythm and (rows[2].duration_correct, rows[2].duration_total, rows[2].overproduced) == (0, 2, True)
     total = S.rhythm_summary(S.rhythm_report(df, ["id"])).first()
     assert (total.exact, total.rest_f1, total.duration_accuracy) == (1, 1.0, round(1 / 3, 6))
+
+
+def test_composed_events(spark):
+    head = lambda k, g, x, p, d: {"id": k, "group": g, "x": x, "pitch": p, "duration": d, "costs": {}}
+    two = [head("a", 1, 5.0, 60, 1.0), head("b", 1, 5.1, 64, 1.0), head("c", 2, 9.0, 62, 2.0)]
+    whole = S.compose(two, [], 3.0, False)
+    assert whole["status"] == "already_meter_complete" and [(n["id"], n["onset"], n["duration"]) for n in whole["notes"]] == [("a", 0.0, 1.0), ("b", 0.0, 1.0), ("c", 1.0, 2.0)]
+    led = S.compose(two, [], 3.5, False)
+    assert led["rests"] == [{"onset": 0.0, "duration": 0.5}] and led["notes"][0]["onset"] == 0.5
+    assert S.compose(two, [], None, False)["status"] == "missing_expected_meter"
+    long = S.compose(two, [], 9.0, False)
+    assert long["status"].startswith("meter_fallback") and sum(n["duration"] for n in long["notes"] if n["id"] != "b") + sum(r["duration"] for r in long["rests"]) == 9.0
+    assert S.compose(two, [{"x": 7.0, "duration": 0.5, "costs": {}}], 4.0, True)["status"] == "pickup_preserved"
+    kind = "k int, h array<struct<id:string,group:int,x:double,pitch:int,duration:double,costs:map<string,double>>>, r array<struct<x:double,duration:double,costs:map<string,double>>>, e double, p boolean"
+    df = spark.createDataFrame([(1, [("a", 1, 5.0, 60, 1.0, {"2.0": 0.0, "1.0": 1.0})], [], 2.0, False)], kind)
+    assert [(n.onset, n.duration) for n in S.composed(df, "h", "r", "e", "p").first().events.notes] == [(0.0, 2.0)]
