@@ -511,3 +511,126 @@ def page_collages(pictures: DataFrame, page: str, order: str, space: int = 24) -
         return pa.table({page: pa.array([key[0].as_py()], rows.schema.field(page).type), "width": pa.array([whole.shape[1]], pa.int32()), "height": pa.array([whole.shape[0]], pa.int32()), "pixels": pa.array([whole.tobytes()], pa.binary())})
 
     return pictures.select(page, order, "width", "height", "pixels").groupBy(page).applyInArrow(run, f"`{page}` {kind}, width int, height int, pixels binary")
+
+
+def staff_rows(density: np.ndarray) -> list[int]:
+    """The five rows of a staff in a row density: middles of spans at 45 % of its maximum (8 % at least), evenly spaced by 6 to 80, with the least deviation, then most support; none if there aren't any."""
+    from itertools import combinations
+
+    if not len(density) or density.max() <= 0:
+        return []
+    spans = [span_peak(density, a, b) for a, b in active_spans(density, max(0.08, 0.45 * float(density.max())), 1, 0)]
+    best = None
+    for some in combinations(spans, 5):
+        rows = sorted(row for _, row in some)
+        mean = (rows[4] - rows[0]) / 4
+        if 6 <= mean <= 80:
+            off = max(abs(b - a - mean) for a, b in zip(rows, rows[1:], strict=False)) / mean
+            rank = (off, -sum(support for support, _ in some) / 5, rows)
+            if off <= 0.3 and (best is None or rank < best):
+                best = rank
+    return best[2] if best else []
+
+
+def staff_band(picture: np.ndarray, pad: int = 4) -> tuple[int, int]:
+    """First and last row of a crop's staff, `pad` rows around it; without a regular staff, of the rows with ink over 70 % of the width, or of the five darkest."""
+    height, width = picture.shape
+    left = max(0, round(0.05 * width))
+    density = row_density(picture, left, min(width, max(left + 1, round(0.95 * width))))
+    rows = staff_rows(density) or np.flatnonzero(density >= 0.7).tolist()
+    if len(rows) < 5:
+        rows = sorted(np.argsort(-density, kind="stable")[:5].tolist())
+    return max(0, min(rows) - pad), min(height - 1, max(rows) + pad)
+
+
+def shift_support(picture: np.ndarray, lines: list[float], limit: int, *, reach: int = 3, near: int = 1) -> np.ndarray:
+    """[column, shift + limit]: in how many columns within `reach` the five lines, shifted down, have ink within `near` rows."""
+    dark = picture <= ink_threshold(picture)
+    height, width = dark.shape
+    out = np.zeros((width, 2 * limit + 1))
+    sums = np.r_[np.zeros((1, width), int), np.cumsum(dark, 0)]
+    for k, shift in enumerate(range(-limit, limit + 1)):
+        for line in lines:
+            y = round(line + shift)
+            lo, hi = min(max(0, y - near), height), min(max(0, y + near + 1), height)
+            there = (sums[hi] - sums[lo] > 0).astype(int) if hi > lo else np.zeros(width, int)
+            wide = np.r_[0, np.cumsum(there)]
+            at = np.arange(width)
+            out[:, k] += wide[np.minimum(width, at + reach + 1)] - wide[np.maximum(0, at - reach)]
+    return out
+
+
+def track_staff(picture: np.ndarray, lines: list[float], spacing: float) -> list[int]:
+    """The shift of a staff's five lines in each column, at most three quarters of a space (3 at least), as a smooth path."""
+    from .sequences import track_shift
+
+    limit = max(3, round(spacing * 0.75))
+    return track_shift(shift_support(picture, lines, limit))
+
+
+def ink_above(dark: np.ndarray, x: int, row: int) -> int:
+    """How many rows upwards from `row` hold ink without a break within a column of x."""
+    strip = dark[: row + 1, max(0, x - 1) : x + 2].any(1)[::-1]
+    return len(strip) if strip.all() else int(strip.argmin())
+
+
+def without_stems(picture: np.ndarray, edges: list[float], *, leading: float = LEADING, trailing: float = TRAILING) -> list[float]:
+    """Barline places without note stems at both ends: the first one near the left edge goes if its ink rises nine tenths of a space over the staff and there is ink left of it; the last but one, close
+    before a thick closing barline, goes if it is thin and its ink rises seven tenths of a space."""
+    height, width = picture.shape
+    top, bottom = staff_band(picture)
+    rows = staff_rows(row_density(picture, max(0, round(0.05 * width)), max(1, round(0.95 * width))))
+    if len(rows) < 5:
+        return list(edges)
+    dark = picture < ink_threshold(picture)
+    spacing, out = float(np.median(np.diff(rows))), list(edges)
+    off_lines = np.ones(height, bool)
+    for r in rows:
+        off_lines[max(0, r - 1) : r + 2] = False
+    off_lines[:top] = off_lines[bottom + 1 :] = False
+    if out and 0.05 < out[0] <= leading:
+        x = round(out[0] * width)
+        before = dark[off_lines, : max(0, x - 12)]
+        if ink_above(dark, x, top - 1) >= 0.9 * spacing and before.size and before.mean() >= 0.02:
+            out = out[1:]
+    if len(out) >= 2 and out[-1] >= trailing > out[-2] and round((out[-1] - out[-2]) * width) <= 4 * spacing:
+        thick = [thickness(dark[top : bottom + 1], round(e * width)) for e in out[-2:]]
+        if thick[0] < 8 <= thick[1] and ink_above(dark, round(out[-2] * width), top - 1) >= 0.7 * spacing:
+            out = [*out[:-2], out[-1]]
+    return out
+
+
+def thickness(staff: np.ndarray, x: int, share: float = 0.6) -> int:
+    """Width of the run of columns around x with ink over a share of the staff's height."""
+    full = staff.mean(0) >= share
+    if not 0 <= x < len(full):
+        return 0
+    left = right = x
+    while left > 0 and full[left - 1]:
+        left -= 1
+    while right + 1 < len(full) and full[right + 1]:
+        right += 1
+    return right - left + 1 if full[left : right + 1].any() else 0
+
+
+def without_blank_ends(picture: np.ndarray, edges: list[float], least: float = 0.12, ink: float = 0.01) -> list[float]:
+    """Measure edges without a first or last measure that is `least` wide or more and holds next to no ink off the staff's lines."""
+    width = picture.shape[1]
+    top, bottom = staff_band(picture)
+    rows = staff_rows(row_density(picture))
+    dark = picture < ink_threshold(picture)
+    keep = np.zeros(picture.shape[0], bool)
+    keep[top : bottom + 1] = True
+    for r in rows:
+        keep[max(0, r - 1) : r + 2] = False
+
+    def blank(a: float, b: float) -> bool:
+        part = dark[keep, round(a * width) + 4 : max(round(a * width) + 4, round(b * width) - 4)]
+        return b - a >= least and (not part.size or part.mean() < ink)
+
+    out = list(edges)
+    if len(out) >= 3 and out[-1] >= 1 - 1e-6 and blank(out[-2], out[-1]):
+        out = out[:-1]
+    if len(out) >= 3 and out[0] <= 1e-6 and blank(out[0], out[1]):
+        out = out[1:]
+    return out

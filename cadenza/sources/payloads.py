@@ -373,3 +373,25 @@ def backend(name: str) -> Callable[..., DataFrame]:
 def canonical_json(value: object) -> str:
     """Compact JSON with sorted keys, ASCII only, without NaN."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
+def ask(requests: DataFrame, connect: Callable[[], Callable[[dict], str]], *, retries: int = 2) -> DataFrame:
+    """Requests with a live source's `answer`, or its `error` after some tries, and how many `tries` it took. `connect` makes a client once in a task: a function from a request's columns to the
+    text of its answer. What a source may cost is for it, or for a ledger of the requests, to bound; answers are kept by a read-through cache."""
+
+    def run(batches):
+        client = connect()
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                answer = error = None
+                for tries in range(1, retries + 2):
+                    try:
+                        answer, error = client(row), None
+                        break
+                    except Exception as failure:  # noqa: BLE001 - whatever a source says is that row's error
+                        error = f"{type(failure).__name__}: {failure}"
+                out.append((answer, error, tries))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int32())], names=[*batch.schema.names, "answer", "error", "tries"])
+
+    return requests.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", answer string, error string, tries int")

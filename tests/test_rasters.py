@@ -153,3 +153,36 @@ def test_barlines_and_collages(spark):
     rows = [("p", 2, 5, 1, bytearray(b.tobytes())), ("p", 1, 3, 2, bytearray(a.tobytes()))]
     df = spark.createDataFrame(rows, "page string, n int, width int, height int, pixels binary")
     assert bytes(R.page_collages(df, "page", "n", 2).first().pixels) == whole.tobytes()
+
+
+def test_staff_rows_bands_and_tracking():
+    p = page(300, 120, ((40, 10),))
+    assert R.staff_rows(R.row_density(p)) == [40, 50, 60, 70, 80] and R.staff_band(p) == (36, 84)
+    assert R.staff_rows(np.zeros(9)) == [] and R.staff_band(np.full((30, 30), 255, np.uint8)) == (0, 8)
+    bent = np.full((120, 300), 255, np.uint8)
+    for x in range(300):
+        bent[[40 + k * 10 + (2 if x >= 150 else 0) for k in range(5)], x] = 0
+    path = R.track_staff(bent, [40, 50, 60, 70, 80], 10.0)
+    assert len(path) == 300 and abs(path[20]) <= 1 and 1 <= path[280] <= 3
+    brute = [[sum(bool((bent[max(0, round(line + s) - 1) : round(line + s) + 2, c] <= R.ink_threshold(bent)).any()) for line in (40, 50, 60, 70, 80) for c in range(max(0, x - 3), min(300, x + 4))) for s in range(-3, 4)] for x in (0, 7, 149, 299)]
+    assert R.shift_support(bent, [40, 50, 60, 70, 80], 3)[[0, 7, 149, 299]].tolist() == brute
+
+
+def test_boundary_clean_up():
+    p = page(400, 120, ((40, 10),))
+    p[20:81, 24] = 0  # a stem that rises over the staff
+    p[55:59, 2:10] = p[55:59, 200:230] = 0
+    assert R.without_stems(p, [24 / 400, 0.5]) == [0.5]
+    short = page(400, 120, ((40, 10),))
+    short[40:81, 24] = 0
+    assert R.without_stems(short, [24 / 400, 0.5]) == [24 / 400, 0.5]
+    end = page(400, 120, ((40, 10),))
+    end[40:81, 372:381] = 0
+    end[25:81, 355] = 0
+    assert R.without_stems(end, [0.5, 355 / 400, 376 / 400]) == [0.5, 376 / 400]
+    assert R.without_stems(np.full((50, 50), 255, np.uint8), [0.1]) == [0.1]
+    music = page(400, 120, ((40, 10),))
+    music[53:58, 60:120] = 0
+    assert R.without_blank_ends(music, [0.0, 0.5, 1.0]) == [0.0, 0.5]
+    music[63:68, 300:340] = 0
+    assert R.without_blank_ends(music, [0.0, 0.5, 1.0]) == [0.0, 0.5, 1.0]

@@ -209,3 +209,19 @@ def test_revisions_backups_and_pages(spark, tmp_path):
     assert [(r.name, r.problem) for r in P.backup_problems(spark, str(tmp_path / "d"), str(tmp_path / "b")).collect()] == [("a", "changed")]
     page = P.html_table(spark.createDataFrame([("<x>", 1), (None, 2)], "a string, b int"), "T & t")
     assert "<td>&lt;x&gt;</td><td>1</td>" in page and "<h1>T &amp; t</h1>" in page
+
+
+def test_live_sources(spark):
+    def connect():
+        seen = {}
+
+        def client(row):
+            seen[row["k"]] = seen.get(row["k"], 0) + 1
+            if row["k"] == 2 and seen[2] < 2 or row["k"] == 3:
+                raise RuntimeError("busy")
+            return f"answer {row['k']}"
+
+        return client
+
+    rows = {r.k: (r.answer, r.error, r.tries) for r in P.ask(spark.createDataFrame([(1,), (2,), (3,)], "k int").coalesce(1), connect).collect()}
+    assert rows == {1: ("answer 1", None, 1), 2: ("answer 2", None, 2), 3: (None, "RuntimeError: busy", 3)}
