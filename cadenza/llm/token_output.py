@@ -24,6 +24,7 @@ import os
 import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import ragged
 from .storage import discard, map_batches, materialize, shared_folder, worker_cache
-from .word_encode import Pool
+from .word_encode import Pool, encode_joined
 
 BLOCK = 512
 MAGIC = b"DAC1"
@@ -122,33 +123,57 @@ class Dac:
         return out
 
 
-_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9\s]+")
+#: Runs of letters, single digits and runs of signs of lower-cased Latin-1, and its characters that aren't simply one of these.
+_PIECES = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff\\s]+")
+_APART = re.compile("['\x1c-\x1f\x80-\xbf\xd7\u0100-\U0010ffff]|<\\|")
+_WORDS = re.compile("[^\x20\x09-\x0D]+")
 
 
-def _words(text: bytes) -> list[bytes]:
-    """Pieces that the tokenizer works on one by one: white-space separated words with A-Z in lower case; for plain ASCII
-    without apostrophes also letters, digits and signs apart. Where a special token's string may stand, words as they are."""
-    if b"<|" in text:
-        return text.split()
-    text = text.lower()
-    return _PIECES.findall(text) if text.isascii() and b"'" not in text else text.split()
+def _words(text: str) -> list[str]:
+    """Pieces that the tokenizer works on one by one: in texts of plain Latin-1 letters, digits and signs these, each apart, in
+    lower case; else white-space separated words with A-Z in lower case. Where a special token's string may stand, words as they are."""
+    if not _APART.search(text):
+        return _PIECES.findall(text.lower())
+    return _WORDS.findall(text if "<|" in text else text.encode().lower().decode())
 
 
 @worker_cache
 def _pool(path: str) -> Pool:
     """Ids of words for a tokenizer that drops white space, puts A-Z in lower case and works on each word alone."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # every core has a task of its own
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # every core has a task of its own
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def encode(words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-
-    for probe in ("a b", " Ab\t\nc<|x|>  d' s", "é  é\x0c'll"):
-        if tokenizer.encode(probe, add_special_tokens=False).ids != [i for x in encode(_words(probe.encode())) for i in x]:
+    vocabulary = tokenizer.get_vocab()
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def one_by_one(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        n = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), n
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.array([bool(_APART.search(w)) for w in words], bool)  # of several pieces, perhaps
+        if apart.all() or not last.any():
+            return one_by_one(words)
+        plain, n_plain = encode_joined(tokenizer, [w + " " for w, x in zip(words, apart, strict=True) if not x], last, True)
+        if not apart.any():
+            return plain, n_plain
+        other, n_other = one_by_one([w for w, x in zip(words, apart, strict=True) if x])
+        n = np.empty(len(words), np.int64)
+        n[~apart], n[apart] = n_plain, n_other
+        out = np.empty(int(n.sum()), np.int32)
+        mine = np.repeat(apart, n)
+        out[~mine], out[mine] = plain, other
+        return out, n
+
+    signs = [chr(c) for c in range(0x21, 0x180)]
+    for probe in ("a b", " Ab\t\nc<|x|>  d' s", "é  é\x0c'll", *(f"a{c}B {c}{c}7{c} É{c}é" for c in signs)):
+        if tokenizer.encode(probe, add_special_tokens=False).ids != encode(_words(probe))[0].tolist():
             raise ValueError(f"{path} doesn't encode word by word")
     return Pool(encode)
 
@@ -165,7 +190,7 @@ def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
         for batch in batches:
             texts = batch.column(1).fill_null("")
             for lo in range(0, len(texts), 128):
-                flat, n = pool([_words(t.encode()) for t in texts.slice(lo, 128).to_pylist()])
+                flat, n = pool([_words(t) for t in texts.slice(lo, 128).to_pylist()])
                 ends = np.cumsum(n)
                 flat = np.insert(flat, ends, end_id).astype(width)
                 cut = np.r_[0, np.cumsum(n + 1)] * flat.itemsize
@@ -183,7 +208,7 @@ def write_ids(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
-    encoded = materialize(encode(docs, tokenizer, key=key, text=text, end_id=end_id), "encoded")
+    encoded = materialize(encode(docs, tokenizer, key=key, text=text, end_id=end_id), "encoded", compression="zstd")
     total = encoded.agg(F.sum("n")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, 1 + total // partition_ids)
     order = F.col("key").asc_nulls_first(), F.col("h").asc()
@@ -222,7 +247,7 @@ def write_ids(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
         if keys:
             yield close()
 
-    map_batches(rows, run, f"part int, segment int, first long, n_docs int, n_ids long, keys array<{kind}>, lengths binary, codes binary").write.parquet(path)
+    map_batches(rows, run, f"part int, segment int, first long, n_docs int, n_ids long, keys array<{kind}>, lengths binary, codes binary").write.parquet(path, compression="zstd")
     discard(encoded)
     return path
 
