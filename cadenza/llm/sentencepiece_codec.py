@@ -16,6 +16,7 @@ asked for are not read, so their names don't matter.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import ragged
 from .storage import map_batches, worker_cache
-from .word_encode import Pool
+from .word_encode import Pool, encode_joined
 
 MARK = "▁"
 #: Piece types and model types of the SentencePiece format.
@@ -134,11 +135,26 @@ class Codec:
 
     def __init__(self, path: str):
         self.spec = Spec.read(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"  # whatever another operator left in this worker
         alone = model_alone(self.spec)
         own = any(kind == USER_DEFINED for *_, kind in self.spec.pieces)
         self.chunked = not own and not any(MARK in p.lstrip(MARK) for p, _, kind in self.spec.pieces if kind == NORMAL)
         self.plain = not self.spec.charsmap and not self.spec.squeeze and self.spec.dummy_prefix
-        self.pool = Pool(lambda chunks: [e.ids for e in alone.encode_batch_fast([MARK + c for c in chunks], add_special_tokens=False)], limit=1 << 17)
+        first = np.array([p.startswith(MARK) for p, _, _ in self.spec.pieces], bool)
+
+        def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            marked = np.array([MARK in c for c in chunks], bool)  # with several markers, encoded one by one
+            n, found = np.zeros(len(chunks), np.int64), {}
+            for kind in (False, True):
+                some = [MARK + c for c, x in zip(chunks, marked, strict=True) if x == kind]
+                if some:
+                    found[kind], n[marked == kind] = encode_joined(alone, some, first, False, 1 if kind else 64)
+            out, mine = np.empty(int(n.sum()), np.int32), np.repeat(marked, n)
+            for kind, ids in found.items():
+                out[mine == kind] = ids
+            return out, n
+
+        self.pool = Pool(encode, limit=1 << 17)
         table = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces]
         self.length = np.array([len(x) for x in table], np.int64)
         self.start, self.bytes = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(table), np.uint8)
