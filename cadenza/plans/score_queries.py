@@ -498,3 +498,41 @@ def scalar_functions(spark, sf_dir):
     x = (F.col("n_chars") % 50).cast("double")
     told = F.when(F.col("doc_id") % 4 == 0, F.lit(" None ")).otherwise(F.concat(F.lit(" x"), F.col("doc_id")))
     return table(spark, sf_dir, "documents").select("doc_id", F.round(C.ellipse_distance(x, (F.col("doc_id") % 30).cast("double"), F.lit(10.0), F.lit(20.0)), 6).alias("distance"), F.round(C.sigmoid(x / 10 - 2), 6).alias("squashed"), C.optional_text(told).alias("told"))
+
+
+@query(f"""WITH RECURSIVE {_EV}, o AS (SELECT user_id AS u, CAST(t AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS k FROM (SELECT DISTINCT user_id, s // 600 AS t FROM ev)), g AS (SELECT u, k, t, t AS total, 1 AS n, 0 AS c FROM o WHERE k = 1 UNION ALL
+SELECT o.u, o.k, o.t, CASE WHEN abs(o.t - round(total / n, 3)) <= 30 THEN total + o.t ELSE o.t END, CASE WHEN abs(o.t - round(total / n, 3)) <= 30 THEN n + 1 ELSE 1 END, CASE WHEN abs(o.t - round(total / n, 3)) <= 30 THEN c ELSE c + 1 END FROM g JOIN o ON o.u = g.u AND o.k = g.k + 1)
+SELECT u AS user_id, CAST(c AS INT) AS cluster, CAST(min(t) AS BIGINT) AS first_t, count(*) AS n FROM g GROUP BY u, c""")
+def mean_clusters(spark, sf_dir):
+    """Times within five hours of the mean of their cluster so far."""
+    rows = events(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_set(F.floor(F.col("s") / 600).cast("double"))).alias("t"))
+    flat = rows.select("user_id", F.posexplode(sequences.mean_clusters(F.col("t"), 30.0)).alias("cluster", "c"))
+    return flat.select("user_id", "cluster", F.array_min("c.members").cast("long").alias("first_t"), F.size("c.members").cast("long").alias("n"))
+
+
+@query(f"""WITH {_LABELLED} SELECT p.doc_id AS positive, n.doc_id AS negative, CAST(p.words - n.words AS DOUBLE) AS words FROM d p JOIN d n ON p.doc_id % 40 = n.doc_id % 40 WHERE p.quality = 1 AND n.quality = 0""")
+def label_pairs(spark, sf_dir):
+    """Each positive with each negative of its unit, as a difference of features."""
+    rows = _labelled(spark, sf_dir).withColumn("unit", F.col("doc_id") % 40)
+    return models.label_pairs(rows, ["unit"], "doc_id", "quality", ["words"]).select("positive", "negative", "words")
+
+
+@query("""WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS y, CAST(p_partkey % 15 - 7 AS INT) AS f FROM part), s AS (SELECT *, CAST(floor((40 - y) / 5 + 0.5) AS INT) + 30 AS k FROM p), l AS (SELECT *, strpos('FCGDAEB', substring('CDEFGAB', k % 7 + 1, 1)) AS o FROM s)
+SELECT p_partkey, (k // 7 + 1) * 12 + [0, 2, 4, 5, 7, 9, 11][k % 7 + 1] + CASE WHEN f > 0 AND o <= f THEN 1 WHEN f < 0 AND 8 - o <= -f THEN -1 ELSE 0 END AS pitch FROM l""")
+def staff_pitches(spark, sf_dir):
+    """Heights on a staff as pitches in all key signatures."""
+    lines = F.array(*(F.lit(float(y)) for y in (0, 10, 20, 30, 40)))
+    return table(spark, sf_dir, "part").select("p_partkey", C.staff_pitch(F.col("p_size").cast("double"), lines, (F.col("p_partkey") % 15 - 7).cast("int")).alias("pitch"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 > 0 THEN '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || 'Z' AS told FROM events""")
+def iso_times(spark, sf_dir):
+    """Times as ISO text."""
+    return table(spark, sf_dir, "events").select("event_id", C.iso_time(F.col("ts")).alias("told"))
+
+
+@query("""WITH n AS (SELECT o_orderkey AS bar, l_linenumber % 3 AS a, CAST(l_quantity AS BIGINT) AS b, l_partkey % 12 AS c FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SELECT bar, sha256('[' || string_agg('[' || a || ',' || b || ',' || c || ',0,0]', ',' ORDER BY a, b, c) || ']') AS fingerprint FROM n GROUP BY bar""")
+def note_fingerprints(spark, sf_dir):
+    """The hash of a bar's bag of notes."""
+    bars = _bars(spark, sf_dir, False).where(F.size("notes") > 0)
+    return bars.select("bar", C.events_hash(editions.note_keys(F.col("notes"))).alias("fingerprint"))
