@@ -495,12 +495,11 @@ def test_decontamination_recall_at_the_threshold(n):
 
 
 def test_lm_score_equals_brute_force(spark, documents):
-    """Each token's probability written out: a softmax over all classes after the class before, and a word's share in its class."""
+    """Each token's probability written out: a softmax over groups after three contexts, one over the group's classes after the last, a word's share in its class."""
     docs, learn = queries.table(spark, SF, "documents"), ~queries.fold(7, 2)
     got = by_id(lm_score.score(docs, held_out=queries.fold(7, 2), learn=learn, classes=48, head=300, steps=20))
     counts = lm_score.word_counts(docs.where(learn))
     vocab = lm_score.vocabulary(counts, classes=48, head=300)
-    model = lm_score.learn_model(lm_score.class_pairs(docs.where(learn), vocab), vocab.size, steps=20)
     times = {r.word % 2**64: r.n for r in counts.collect()}
     own = {int(w): int(c) for w, c in zip(vocab.words, vocab.classes, strict=True) if c >= 0}
     signed = lambda w: w - 2**64 if w >= 2**63 else w
@@ -509,23 +508,68 @@ def test_lm_score_equals_brute_force(spark, documents):
     for w, n in times.items():
         if w not in own:
             mass[class_of(w)] += n + 1
-    chance = [[float(x) for x in row] for row in model.context.astype(float) @ model.between @ model.word.T + model.bias]
-    chance = [[x - np.logaddexp.reduce(row) for x in row] for row in chance]
-    for i, t in documents[:60]:
+    model = lm_score.learn_scorer(docs.where(learn), vocab, np.array([mass[vocab.short + k] for k in range(vocab.hashed)], float), steps=20)
+    p, groups = model.places, [int(g) for g in model.group]
+    assert len(set(groups)) == lm_score.group_count(vocab.size) > 1
+    members = [[c for c, g in enumerate(groups) if g == k] for k in range(max(groups) + 1)]
+
+    def log_softmax(values, at):
+        return values[at] - np.logaddexp.reduce(values)
+
+    def group_logs(before):
+        return [float(p.share[g]) + sum(a * (float(np.dot(c[h].astype(float), q[g])) + float(b[g])) for a, c, q, b, h in zip(p.weight, p.context, p.group, p.bias, before, strict=True)) for g in range(len(members))]
+
+    for i, t in documents[:25]:
         (_, _, buf, offsets), = ragged.slices(pa.array([t]))
-        expected, before = 0.0, 0
+        expected, before = 0.0, [0, 0, 0]
         for w in map(int, lm_score.tokens(buf, offsets)[0]):
             c = class_of(w)
-            expected += chance[before][c] / np.log(10) + (log10((times.get(w, 0) + 1) / mass[c]) if c >= vocab.short else 0)
-            before = c
+            inside = [float(np.dot(model.before[before[0]].astype(float), model.after[m])) + float(model.bias[m]) for m in members[groups[c]]]
+            expected += (log_softmax(group_logs(before), groups[c]) + log_softmax(inside, members[groups[c]].index(c))) / np.log(10)
+            expected += log10((times.get(w, 0) + 1) / mass[c]) if c >= vocab.short else 0
+            before = [c, *before[:2]]
         assert got[i].score == pytest.approx(expected, rel=1e-4)
 
 
+def test_lm_is_normalised_over_all_classes(spark, documents):
+    docs, yes = queries.table(spark, SF, "documents"), queries.F.lit(True)
+    vocab = lm_score.vocabulary(lm_score.word_counts(docs.where(yes)), classes=48)
+    model = lm_score.learn_scorer(docs, vocab, np.ones(vocab.hashed), steps=10)
+    every = np.arange(vocab.size)
+    for before in ((0, 0, 0), (3, 0, 7), (vocab.size - 1, 5, vocab.size - 1)):
+        logs = model.token_logs(every, [np.full(vocab.size, h) for h in before], model.members())
+        assert np.exp(logs).sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_lm_contexts_and_groups():
+    c = np.array([5, 6, 0, 7, 8, 9, 0, 0])
+    first, second, third = lm_score.contexts(c, np.array([0, 3, 7, 8]))
+    assert first.tolist() == [0, 5, 6, 0, 7, 8, 9, 0] and second.tolist() == [0, 0, 5, 0, 0, 7, 8, 0] and third.tolist() == [0, 0, 0, 0, 0, 0, 7, 0]
+    vectors = np.r_[np.random.default_rng(0).normal(5, 0.1, (8, 3)), np.random.default_rng(1).normal(-5, 0.1, (8, 3))]
+    g = lm_score.groups_of(vectors, 2)
+    assert len(set(g[:8])) == len(set(g[8:])) == 1 and g[0] != g[8]
+    assert np.bincount(lm_score.groups_of(vectors, 8)).tolist() == [2] * 8
+    assert [lm_score.group_count(n) for n in (1, 5, 16, 1024, 10**6)] == [1, 2, 4, 32, 128]
+
+
+def test_lm_places_learn_which_context_tells():
+    """The group follows the second token before it: that place gets the weight."""
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 4, (3, 4000))
+    g = np.where(rng.random(4000) < 0.9, h[1], rng.integers(0, 4, 4000))
+    counts = np.zeros((3, 4, 4))
+    for j in range(3):
+        np.add.at(counts[j], (h[j], g), 1)
+    model = lm_score.weigh_places(lm_score.learn_places(counts, steps=150), list(h), g)
+    assert model.weight[1] > 0.8 and model.log_probabilities(list(h))[np.arange(4000), g].mean() > -0.6
+    assert np.allclose(np.exp(model.log_probabilities([x[:9] for x in h])).sum(1), 1, atol=1e-5)
+
+
 def test_lm_model_beats_single_word_counts_on_held_out_texts(spark):
     rows = [r for r in queries.op6_lm_score(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     tokens = sum(r.n_tokens for r in rows)
     base, model = (sum(r[k] for r in rows) / tokens for k in ("base_score", "score"))
-    assert len(rows) > 100 and model > base + 0.05
+    assert len(rows) > 100 and model > base + 0.14
 
 
 def test_lm_hot_unknown_words_are_joined_apart(spark, monkeypatch):
