@@ -537,7 +537,7 @@ def test_lm_is_normalised_over_all_classes(spark, documents):
     model = lm_score.learn_scorer(docs, vocab, np.ones(vocab.hashed), steps=10)
     every = np.arange(vocab.size)
     for before in ((0, 0, 0), (3, 0, 7), (vocab.size - 1, 5, vocab.size - 1)):
-        logs = model.token_logs(every, [np.full(vocab.size, h) for h in before], model.members())
+        logs = model.tables().token_logs(every, [np.full(vocab.size, h) for h in before])
         assert np.exp(logs).sum() == pytest.approx(1, rel=1e-4)
 
 
