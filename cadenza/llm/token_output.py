@@ -157,7 +157,9 @@ def _pool(path: str) -> Pool:
         return np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), n
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        apart = np.array([bool(_APART.search(w)) for w in words], bool)  # of several pieces, perhaps
+        apart = np.zeros(len(words), bool)  # of several pieces, perhaps
+        if _APART.search(" ".join(words)):
+            apart[:] = [bool(_APART.search(w)) for w in words]
         if apart.all() or not last.any():
             return one_by_one(words)
         plain, n_plain = encode_joined(tokenizer, [w + " " for w, x in zip(words, apart, strict=True) if not x], last, True)
@@ -175,7 +177,7 @@ def _pool(path: str) -> Pool:
     for probe in ("a b", " Ab\t\nc<|x|>  d' s", "é  é\x0c'll", *(f"a{c}B {c}{c}7{c} É{c}é" for c in signs)):
         if tokenizer.encode(probe, add_special_tokens=False).ids != encode(_words(probe))[0].tolist():
             raise ValueError(f"{path} doesn't encode word by word")
-    return Pool(encode)
+    return Pool(encode, limit=3 << 18)
 
 
 def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
