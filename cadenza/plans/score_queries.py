@@ -42,7 +42,7 @@ def edition_comparison(spark, sf_dir):
 
 @query()
 def bar_alignment(spark, sf_dir):
-    """Global alignment of every customer's bars with those of the changed version, in reverse order of half of the notes; tested against brute force."""
+    """Global alignment of every customer's bars with those of the changed version; the operator is tested against brute force."""
     return editions.align_bars(_bars(spark, sf_dir, False), _bars(spark, sf_dir, True), "score")
 
 
