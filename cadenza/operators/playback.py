@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,19 +67,31 @@ def play_sections(events: DataFrame, sections: DataFrame, by: str) -> tuple[Data
     return played.select(*events.columns, "visit", "name", (F.col("__offset") + F.col("start") - F.col("__start")).alias("performed")), problems
 
 
-def tie_chains(heads: DataFrame, by: str, key: str = "head", after: str = "tied_to", given: str = "given_id", most: int = MOST_SECTIONS) -> DataFrame:
+def tie_chains(heads: DataFrame, by: str, key: str = "head", after: str = "tied_to", given: str = "given_id") -> DataFrame:
     """(by, head, chain): the id of each chain of tied heads - the one given to some of its heads, else its first head. Chains that close on themselves or whose heads were given
-    different ids are left out. A head is tied to at most one, so pointers are doubled: after k rounds each head knows the one 2^k before it."""
-    before = heads.where(F.col(after).isNotNull()).select(by, F.col(after).alias(key), F.col(key).alias("__to"))
-    known = heads.select(by, key).join(before, [by, key], "left").withColumn("__root", F.coalesce("__to", key))
-    for _ in range(most.bit_length()):
-        step = known.select(by, F.col(key).alias("__to"), F.col("__root").alias("__up"), F.col("__to").alias("__next"))
-        known = known.join(step, [by, "__to"], "left").select(by, key, F.coalesce("__up", "__root").alias("__root"), F.col("__next").alias("__to"))
-    # a head on a circle, or behind more heads than a chain may have, still has one before it
-    firm = known.where("__to IS NULL").select(by, key, F.col("__root").alias("chain"))
-    ids = firm.join(heads.select(by, key, given), [by, key]).groupBy(by, "chain").agg(F.count("*").alias("__n"), F.count_distinct(given).alias("__ids"), F.max(given).alias("__id"))
-    good = ids.where("__n > 1 AND __ids <= 1").select(by, "chain", F.coalesce("__id", F.col("chain").cast(heads.schema[given].dataType)).alias("__name"))
-    return firm.join(good, [by, "chain"]).select(by, key, F.col("__name").alias("chain"))
+    different ids are left out. A piece is one task's work, linear in its heads; its chains are walked from their first heads, in order."""
+    kinds = f"`{by}` {heads.schema[by].dataType.simpleString()}, `{key}` {heads.schema[key].dataType.simpleString()}, chain {heads.schema[given].dataType.simpleString()}"
+    id_type = heads.sparkSession.createDataFrame([], kinds).toArrow().schema.field("chain").type
+
+    def run(table: pa.Table) -> pa.Table:
+        names, onward, ids = (table.column(c).to_pylist() for c in (key, after, given))
+        to, known = dict(zip(names, onward, strict=True)), dict(zip(names, ids, strict=True))
+        reached = {t for t in onward if t is not None}
+        out = {}
+        for head in sorted(n for n in names if to[n] is not None and n not in reached):
+            chain, seen, now = [], set(), head
+            while now is not None and now in to and now not in seen:
+                chain.append(now)
+                seen.add(now)
+                now = to[now]
+            told = {x for n in chain if (x := out.get(n, known[n])) is not None}
+            if now in seen or len(chain) < 2 or len(told) > 1:
+                continue
+            for n in chain:
+                out[n] = next(iter(told), head)
+        return pa.table({by: pa.array([table.column(by)[0].as_py()] * len(out), table.schema.field(by).type), key: pa.array(list(out), table.schema.field(key).type), "chain": pa.array(list(out.values()), id_type)})
+
+    return heads.select(by, key, after, given).groupBy(by).applyInArrow(run, kinds)
 
 
 def initial_tempo(tempos: DataFrame, works: DataFrame, by: str, order: str = "place") -> DataFrame:
