@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .grouped import map_groups
 from .timeline import clusters
 
 
@@ -136,39 +137,30 @@ def sorted_unused(a: np.ndarray, b: np.ndarray, most: float) -> list[tuple[int,
     return [(int(order[i]), j) for i, j in nearest_unused(a[order], b, most)]
 
 
-def chained(left: DataFrame, right: DataFrame, by: list[str], x: str, reach: float | None) -> tuple[DataFrame, DataFrame]:
-    """Both tables with the number `__chain` of the run of points, of both together, whose steps on x are at most `reach`."""
-    if reach is None:
-        return left.withColumn("__chain", F.lit(0).cast("long")), right.withColumn("__chain", F.lit(0).cast("long"))
-    sides = [df.withColumn("__side", F.lit(k)).withColumn("__x", F.col(x).cast("double")) for k, df in enumerate((left, right))]
-    both = clusters(sides[0].unionByName(sides[1], allowMissingColumns=True), by, F.col("__x"), ["__x", "__side"], reach, "__chain", touching=True)
-    out = [both.where(F.col("__side") == k).select(*df.columns, "__chain") for k, df in enumerate((left, right))]
-    return out[0], out[1]
-
-
 def match(left: DataFrame, right: DataFrame, by: list[str], key: str, at: list[str], most: float, rule: Callable = closest_pairs_on_line, *, shape: list[str] | None = None, reach: float | None | str = "most", order: str | None = None) -> DataFrame:
     """Matched pairs of each group: (by, left_key, right_key, distance). `at` are the axes (one or two), `shape` further columns of
-    the right side that the rule gets, `order` what the left side is taken by (else the key)."""
-    a, b = chained(left, right, by, at[0], most if reach == "most" else reach)
-    groups = [*by, "__chain"]
-    kinds = ", ".join(f"`{c}` {_kind(left, c)}" for c in by)
-    left_kind, right_kind = left.schema[key].dataType.simpleString(), right.schema[key].dataType.simpleString()
-
-    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    the right side that the rule gets, `order` what the left side is taken by (else the key). Groups are cut into chains, runs of points of both sides whose steps on the first axis are at most
+    the reach of the rule; with None they aren't."""
+    kind = right.schema[key].dataType.simpleString()
+    side = lambda df, k, more: df.select(*by, key, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*at, *more])), F.lit(k).alias("__side"))
+    both = side(left, 0, [order] if order else []).unionByName(side(right, 1, shape or []), allowMissingColumns=True)
+    reach = most if reach == "most" else reach
+    chain = F.lit(0).cast("long")
+    both = both.withColumn("__chain", chain) if reach is None else clusters(both, by, F.col(at[0]), [at[0], "__side"], reach, "__chain", touching=True)
+
+    def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict] | None:
+        p, q = np.flatnonzero(g["__side"] == 0), np.flatnonzero(g["__side"] == 1)
         if not len(p) or not len(q):
-            return pd.DataFrame(columns=[*by, "left_key", "right_key", "distance"])
-        p, q = p.sort_values([*([order] if order else []), key]), q.sort_values(key)
-        x, y = p[at].to_numpy(float), q[[*at, *(shape or [])]].to_numpy(float)
+            return None
+        x, y = np.stack([g[c][p] for c in at], 1), np.stack([g[c][q] for c in (*at, *(shape or []))], 1)
         pairs = rule(x[:, 0], y[:, 0], most) if len(at) == 1 else rule(x, y, most) if shape is None else rule(x, y)
+        if not pairs:
+            return None
         i, j = (np.array([pair[k] for pair in pairs], int) for k in (0, 1))
-        distance = np.sqrt(((x[i] - y[j][:, : len(at)]) ** 2).sum(1)) if len(pairs) else np.zeros(0)
-        head = {c: [p[c].iloc[0]] * len(i) for c in by}
-        return pd.DataFrame({**head, "left_key": p[key].to_numpy()[i], "right_key": q[key].to_numpy()[j], "distance": distance})
+        return p[i], {"right_key": g[key][q[j]], "distance": np.sqrt(((x[i] - y[j][:, : len(at)]) ** 2).sum(1))}
 
-    # both sides may come from one plan, so their columns are named anew
-    columns = lambda df, more: df.select(*(F.col(c).alias(c) for c in dict.fromkeys([*groups, key, *at, *more])))
-    cogroup = columns(a, [order] if order else []).groupBy(*groups).cogroup(columns(b, shape or []).groupBy(*groups))
-    return cogroup.applyInPandas(run, f"{kinds}, left_key {left_kind}, right_key {right_kind}, distance double")
+    found = map_groups(both, [*by, "__chain"], ["__side", *([order] if order else []), key], run, [*by, key], f"right_key {kind}, distance double")
+    return found.select(*by, F.col(key).alias("left_key"), "right_key", "distance")
 
 
 def match_ellipses(candidates: DataFrame, truths: DataFrame, by: list[str], key: str, margin: float = 1.0) -> DataFrame:
@@ -213,27 +205,25 @@ def within_ellipses(points: DataFrame, ellipses: DataFrame, by: list[str], key:
 
 def suppress(df: DataFrame, by: list[str], key: str, at: list[str], score: str, least: float, most: int | None = None) -> DataFrame:
     """Non-max suppression: by falling score (ties by key) a row is kept if no kept one is nearer than `least`; (by, key, place) of at most `most` a group."""
-    chain = clusters(df, by, F.col(at[0]).cast("double"), [at[0], key], least, "__chain")
-    kinds = ", ".join(f"`{c}` {_kind(df, c)}" for c in by)
+    rows = df.select(*by, key, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys(at)), F.col(score).alias("__score"))
+    chain = clusters(rows, by, F.col(at[0]), [at[0], key], least, "__chain").withColumn("__down", -F.col("__score"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, key], ascending=[False, True])
-        points, kept, line = rows[at].to_numpy(float), [], []
+    def run(g: dict[str, np.ndarray]) -> tuple[np.ndarray, dict]:
+        points, kept, line = np.stack([g[c] for c in at], 1), [], []
         for k, p in enumerate(points):
-            lo = bisect_left(line, (p[0] - least, -1))
-            clash = False
+            lo, clash = bisect_left(line, (p[0] - least, -1)), False
             for x, j in line[lo:]:
                 if x > p[0] + least:
                     break
-                if np.sqrt(((points[j] - p) ** 2).sum()) < least:
+                if (abs(x - p[0]) if len(at) == 1 else np.sqrt(((points[j] - p) ** 2).sum())) < least:
                     clash = True
                     break
             if not clash:
                 kept.append(k)
                 insort(line, (p[0], k))
-        return rows.iloc[kept][[*by, key, score]]
+        return np.array(kept, np.int64), {}
 
-    kept = chain.select(*by, "__chain", key, *at, score).groupBy(*by, "__chain").applyInPandas(run, f"{kinds}, `{key}` {_kind(df, key)}, `{score}` {_kind(df, score)}")
+    kept = map_groups(chain, [*by, "__chain"], ["__down", key], run, [*by, key, "__score"], "").withColumnRenamed("__score", score)
     placed = kept.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), key)))
     return placed.where(F.col("place") <= most if most else F.lit(True)).select(*by, key, "place")
 
