@@ -177,7 +177,7 @@ def _pool(path: str) -> Pool:
     for probe in ("a b", " Ab\t\nc<|x|>  d' s", "é  é\x0c'll", *(f"a{c}B {c}{c}7{c} É{c}é" for c in signs)):
         if tokenizer.encode(probe, add_special_tokens=False).ids != encode(_words(probe))[0].tolist():
             raise ValueError(f"{path} doesn't encode word by word")
-    return Pool(encode, limit=3 << 18)
+    return Pool(encode, limit=1 << 19)
 
 
 def encode(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
