@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 Group = dict[str, np.ndarray]
 
 
-def map_groups(df: DataFrame, groups: list[str], order: list[str], run: Callable[[Group], tuple[np.ndarray, Group] | None], keep: list[str], extra: str) -> DataFrame:
-    """Columns `keep` of the rows that `run` names in each group (by place in it), with the columns `extra` (a schema) that it gives for them; None for none.
+def map_groups(df: DataFrame, groups: list[str], order: list[str], run: Callable[[Group], tuple[np.ndarray, Group] | None], keep: list[str], extra: str = "", paired: dict[str, str] | None = None) -> DataFrame:
+    """Columns `keep` of the rows that `run` names in each group (by place in it), with the columns that it gives for them: those of
+    `paired` (by the column they repeat) as places of other rows, those of `extra` (a schema) as values. None is no row.
 
     `run` gets a group's columns as numpy arrays, in order. A group is held by one task."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *([extra] if extra else [])])
+    paired = paired or {}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{c}` {kinds[x]}" for c, x in paired.items()), *([extra] if extra else [])])
     target = df.sparkSession.createDataFrame([], schema).toArrow().schema
 
     def work(table: pa.Table) -> pa.RecordBatch:
@@ -35,10 +37,11 @@ def map_groups(df: DataFrame, groups: list[str], order: list[str], run: Callable
             if found is not None and len(found[0]):
                 rows.append(a + np.asarray(found[0], np.int64))
                 for name, values in more.items():
-                    values.append(found[1][name])
-        at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        arrays = [table.column(c).take(pa.array(at)).combine_chunks() for c in keep]
-        arrays += [pa.array(np.concatenate(v).tolist() if v else [], target.field(name).type) for name, v in more.items()]
+                    values.append(np.asarray(found[1][name]) + (a if name in paired else 0))
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        take = lambda c, parts: table.column(c).take(pa.array(join(parts))).combine_chunks()
+        arrays = [take(c, rows) for c in keep]
+        arrays += [take(paired[name], v) if name in paired else pa.array(join(v), target.field(name).type) for name, v in more.items()]
         return pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, target, strict=True)], names=target.names)
 
     def apply(batches):

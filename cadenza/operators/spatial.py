@@ -141,7 +141,6 @@ def match(left: DataFrame, right: DataFrame, by: list[str], key: str, at: list[s
     """Matched pairs of each group: (by, left_key, right_key, distance). `at` are the axes (one or two), `shape` further columns of
     the right side that the rule gets, `order` what the left side is taken by (else the key). Groups are cut into chains, runs of points of both sides whose steps on the first axis are at most
     the reach of the rule; with None they aren't."""
-    kind = right.schema[key].dataType.simpleString()
     side = lambda df, k, more: df.select(*by, key, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*at, *more])), F.lit(k).alias("__side"))
     both = side(left, 0, [order] if order else []).unionByName(side(right, 1, shape or []), allowMissingColumns=True)
     reach = most if reach == "most" else reach
@@ -157,9 +156,9 @@ def match(left: DataFrame, right: DataFrame, by: list[str], key: str, at: list[s
         if not pairs:
             return None
         i, j = (np.array([pair[k] for pair in pairs], int) for k in (0, 1))
-        return p[i], {"right_key": g[key][q[j]], "distance": np.sqrt(((x[i] - y[j][:, : len(at)]) ** 2).sum(1))}
+        return p[i], {"right_key": q[j], "distance": np.sqrt(((x[i] - y[j][:, : len(at)]) ** 2).sum(1))}
 
-    found = map_groups(both, [*by, "__chain"], ["__side", *([order] if order else []), key], run, [*by, key], f"right_key {kind}, distance double")
+    found = map_groups(both, [*by, "__chain"], ["__side", *([order] if order else []), key], run, [*by, key], "distance double", {"right_key": key})
     return found.select(*by, F.col(key).alias("left_key"), "right_key", "distance")
 
 
@@ -223,7 +222,7 @@ def suppress(df: DataFrame, by: list[str], key: str, at: list[str], score: str,
                 insort(line, (p[0], k))
         return np.array(kept, np.int64), {}
 
-    kept = map_groups(chain, [*by, "__chain"], ["__down", key], run, [*by, key, "__score"], "").withColumnRenamed("__score", score)
+    kept = map_groups(chain, [*by, "__chain"], ["__down", key], run, [*by, key, "__score"]).withColumnRenamed("__score", score)
     placed = kept.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), key)))
     return placed.where(F.col("place") <= most if most else F.lit(True)).select(*by, key, "place")
 
