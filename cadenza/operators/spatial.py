@@ -14,6 +14,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -328,46 +329,97 @@ def spaced_maxima(df: DataFrame, by: list[str], at: str, score: str, reach: int,
     return grouped.select(*by, F.explode(kept).alias("k")).select(*by, F.col("k.at").alias(at), F.col("k.score").alias(score))
 
 
-#: Bytes of a bank of vectors that is broadcast at once.
-BANK_BYTES = 64 << 20
+#: Bytes of a bank of vectors that is broadcast at once; queries and vectors that are multiplied at once; pairs a task looks at.
+BANK_BYTES, TILE, TASK_PAIRS = 64 << 20, (256, 1024), 1 << 28
+
+
+def _two_nearest(queries: np.ndarray, bank: np.ndarray, left_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances and places in the bank of each query's two nearest vectors but the one left out (-1: none), ties by place; missing ones are inf and -1.
+
+    Products of 32-bit floats show which vectors could be among the two: those within a bound of the products' error. Only these are measured, in 64 bits, summed in the vectors' order."""
+    width = bank.shape[1]
+    middle = bank.mean(0)
+    scale = max(float(np.abs(bank - middle).max()), float(np.abs(queries - middle).max(initial=0)), 1e-300)
+    small, own = (bank - middle) / scale, (queries - middle) / scale
+    norms, own_norms = (small**2).sum(1), (own**2).sum(1)
+    right = np.ascontiguousarray(np.c_[small, norms].T, np.float32)
+    left = np.c_[-2 * own, np.ones(len(own))].astype(np.float32)
+    error = (width + 32) * 2.0**-22 * (np.sqrt(own_norms) + np.sqrt(norms.max())) ** 2
+    best, at = np.full((len(queries), 2), np.inf), np.full((len(queries), 2), -1)
+    for lo in range(0, len(queries), TILE[0]):
+        part = slice(lo, lo + TILE[0])
+        q, d, k, out = queries[part], best[part], at[part], left_out[part]
+        every = np.arange(len(q))
+        for start in range(0, len(bank), TILE[1]):
+            s = left[part] @ right[:, start : start + TILE[1]]
+            mine = np.flatnonzero((out >= start) & (out < start + s.shape[1]))
+            s[mine, out[mine] - start] = np.inf
+            limit = d[:, 1] / scale / scale - own_norms[part] + error[part]
+            if start == 0 and s.shape[1] > 2:
+                limit = np.minimum(limit, np.partition(s, 1, axis=1)[:, 1] + 2 * error[part])
+            row, column = divmod(np.flatnonzero(s <= limit.astype(np.float32)[:, None]), s.shape[1])
+            hits = np.isfinite(s[row, column])
+            row, column = row[hits], column[hits] + start
+            for first in range(0, len(row), 1 << 16):
+                r, c = row[first : first + (1 << 16)], column[first : first + (1 << 16)]
+                exact = np.add.accumulate((q[r] - bank[c]) ** 2, axis=1)[:, -1]
+                rows, far, place = np.r_[every, every, r], np.r_[d[:, 0], d[:, 1], exact], np.r_[k[:, 0], k[:, 1], c]
+                order = np.lexsort((place, far, rows))
+                head = order[np.searchsorted(rows[order], every)[:, None] + np.arange(2)]
+                d[:], k[:] = far[head], place[head]
+    return best, at
+
+
+def _finite(vectors: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors have `width` finite numbers, and these as rows."""
+    whole = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    n = np.array(pc.fill_null(pc.list_value_length(whole), -1)) == width
+    values = whole.filter(pa.array(n)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+    fine = np.isfinite(values).all(1)
+    n[n] = fine
+    return n, values[fine]
 
 
 def nearest_two(queries: DataFrame, bank: DataFrame, key: str, vector: str, *, most_bytes: int = BANK_BYTES) -> DataFrame:
-    """(key, nearest, distance, second, second_distance) by Euclidean distance, the row of the same key left out, ties by key.
+    """(key, nearest, distance, second, second_distance) by Euclidean distance, the row of the same key left out, ties by key. Vectors that are null, have
+    an entry that isn't finite, or are shorter than others have no neighbours and aren't any.
 
-    The bank is broadcast in blocks of at most `most_bytes`; with several, the blocks' best are merged, so memory is bounded whatever its size."""
+    Of equal vectors the three least keys stay in the bank: one may be a query's own, and two are all it can get. The bank is broadcast in blocks of
+    at most `most_bytes`; with several, the blocks' best are merged, so memory is bounded whatever its size. Every query meets every block."""
     kind, spark = _kind(bank, key), queries.sparkSession
     width = bank.select(F.max(F.size(vector))).first()[0] or 1
-    blocks = 1 + bank.count() * (8 * width + 16) // most_bytes
-    dealt = bank.select(key, vector).withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    n = bank.count()
+    blocks = 1 + n * (8 * width + 16) // most_bytes
+    least = bank.select(key, vector).withColumn("__k", F.row_number().over(W.partitionBy(vector).orderBy(key))).where("__k <= 3")
+    dealt = least.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    tasks = 1 + queries.count() * (1 + n // blocks) // TASK_PAIRS
+    asked = queries.select(key, vector).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")) if n > TILE[1] else 1, tasks))
     found = []
     for block in range(blocks):
         rows = dealt.where(F.col("__block") == block).select(key, vector).orderBy(key).toArrow()
-        names = rows.column(0).to_pylist()
-        values = np.array(rows.column(1).to_pylist(), float).reshape(len(names), -1)
-        shared = spark.sparkContext.broadcast((names, values))
+        fine, values = _finite(rows.column(1), width)
+        shared = spark.sparkContext.broadcast((rows.column(0).combine_chunks().filter(pa.array(fine)), values))
 
         def run(batches, shared=shared):
             names, values = shared.value
-            of = {name: k for k, name in enumerate(names)}
             for batch in batches:
-                own, out = batch.column(0).to_pylist(), []
-                for name, v in zip(own, batch.column(1).to_pylist(), strict=True):
-                    d = ((values - np.array(v, float)) ** 2).sum(1)
-                    if name in of:
-                        d[of[name]] = np.inf
-                    best = [int(k) for k in np.argsort(d, kind="stable")[:2] if np.isfinite(d[k])]
-                    out += [(name, names[k], float(np.sqrt(d[k]))) for k in best]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], batch.schema.field(0).type), pa.array([o[1] for o in out], batch.schema.field(0).type), pa.array([o[2] for o in out], pa.float64())], names=[key, "other", "distance"])
-
-        found.append(queries.select(key, vector).mapInArrow(run, f"`{key}` {kind}, other {kind}, distance double"))
+                fine, own = _finite(batch.column(1), width)
+                asking = batch.column(0).filter(pa.array(fine))
+                if not len(names) or not len(own):
+                    continue
+                left_out = np.array(pc.fill_null(pc.index_in(asking, value_set=names), -1))
+                squares, at = _two_nearest(own, values, left_out)
+                row, k = np.nonzero(at >= 0)
+                yield pa.RecordBatch.from_arrays([asking.take(pa.array(row)), names.take(pa.array(at[row, k])), pa.array(squares[row, k])], names=[key, "other", "square"])
+
+        found.append(asked.mapInArrow(run, f"`{key}` {kind}, other {kind}, square double"))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "other"))), 1, 2)
+    best = F.slice(F.sort_array(F.collect_list(F.struct("square", "other"))), 1, 2)  # squares: their roots may tie where they don't
     rows = queries.select(key).join(every.groupBy(key).agg(best.alias("b")), key, "left")
     pick = lambda k, c: F.get("b", k)[c]
-    return rows.select(key, pick(0, "other").alias("nearest"), pick(0, "distance").alias("distance"), pick(1, "other").alias("second"), pick(1, "distance").alias("second_distance"))
+    return rows.select(key, pick(0, "other").alias("nearest"), F.sqrt(pick(0, "square")).alias("distance"), pick(1, "other").alias("second"), F.sqrt(pick(1, "square")).alias("second_distance"))
 
 
 def retrieved(nearest: DataFrame, bank: DataFrame, key: str, threshold: float, values: list[str]) -> DataFrame:

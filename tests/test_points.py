@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from math import hypot
+from time import process_time
 
 import numpy as np
 from cadenza.operators import rasters, spatial
@@ -153,6 +154,35 @@ def test_nearest_two_in_blocks(spark):
     assert [(r.nearest, r.second) for r in one] == [(None, None)]
 
 
+def test_nearest_two_of_many_copies_and_rows_without_neighbours(spark):
+    rng = np.random.default_rng(5)
+    vectors = np.round(rng.normal(size=(6000, 6)), 1) / 3  # ties that rounding could break
+    vectors[rng.permutation(6000)[:2000]] = vectors[7]
+    odd = [(6000, None), (6001, [1.0]), (6002, [float("nan")] * 6)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)] + odd, "id long, v array<double>")
+    expected = {6000: (None, None, None, None), 6001: (None, None, None, None), 6002: (None, None, None, None)}
+    for k, v in enumerate(vectors):
+        d = np.add.accumulate((vectors - v) ** 2, axis=1)[:, -1]
+        d[k] = np.inf
+        a, b = np.argsort(d, kind="stable")[:2].tolist()
+        expected[k] = a, float(np.sqrt(d[a])), b, float(np.sqrt(d[b]))
+    for size in (1 << 26, 100_000):
+        got = {r.id: (r.nearest, r.distance, r.second, r.second_distance) for r in spatial.nearest_two(df, df, "id", "v", most_bytes=size).collect()}
+        assert got == expected
+
+
+def test_nearest_two_measures_few_vectors():
+    """Products rule nearly all vectors out: a hundred million pairs take seconds."""
+    bank = np.random.default_rng(6).normal(size=(20_000, 64))
+    began = process_time()
+    squares, at = spatial._two_nearest(bank[:5000], bank, np.arange(5000))
+    assert process_time() - began < 20
+    for k in range(0, 5000, 500):
+        d = ((bank - bank[k]) ** 2).sum(1)
+        d[k] = np.inf
+        assert at[k].tolist() == np.argsort(d)[:2].tolist() and np.allclose(squares[k], np.sort(d)[:2])
+
+
 def test_candidate_union(spark):
     grid = spark.createDataFrame([(0, "p", 0.0, 0.0, 1), (0, "q", 5.0, 0.0, 2)], "g int, id string, x double, y double, rank int")
     stems = spark.createDataFrame([(0, 0.3, 0.1, 0.5), (0, 9.0, 0.0, 0.4), (0, 9.4, 0.0, 0.9)], "g int, x double, y double, score double")
