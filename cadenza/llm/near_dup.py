@@ -20,15 +20,19 @@ of a hot group thus meet in some task of bounded size. Which keys are hot is est
 only where pairs meet, not which.
 
 `keep_one` takes texts for copies whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-more. 64-bit SimHashes of such texts differ in 9 bits on average and often in 15, a radius at which no
-key is both shared and selective. So candidates come from the sets themselves: in any one order of all
+more. SimHashes of the sets are linked by Golay keys as above, and the links' pairs are verified by the exact
+similarity. But SimHashes of such texts differ in 9 bits on average and often in 15, a radius at which no
+key is both shared and selective. So the pairs beyond 4 bits come from the sets themselves: in any one order of all
 shingles, two sets of similarity s share l among the first n - ceil(s n) + l of each, so a join on these
 loses no pair; l is 1 and a share `MORE` of n, of the lesser set for a pair. The order puts common
 shingles (estimated from one text in 16) last, as they would make large groups; the estimate decides only
 the order. Pairs that share l in groups of at most `SMALL` members, and by length and place can be
-similar, are verified by the exact similarity. Larger groups are searched with their texts, in blocks as
+similar, are verified too. Larger groups are searched with their texts, in blocks as
 above, so a pair with a shingle in one of them is found there, whatever it shares elsewhere.
 
+Before texts are fetched for a verification, pairs are ruled out by the parity bits of their sets: two sets
+differ in at least as many shingles as their parity bits differ, so no similar pair is lost.
+
 Defined results: null and empty texts and texts without a word have fingerprint zero (and an empty set) and are linked
 like others. Rows with null ids take part; a component's id is the least id that isn't null (null if
 there is none). Repeated rows get the same component. An empty table gives no row. Texts of any length are taken whole.
@@ -39,6 +43,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -202,19 +207,23 @@ def deal(keyed: DataFrame, hot: DataFrame) -> DataFrame:
     return keyed.join(hot, "key", "left").select(F.explode(to).alias("key"), "print")
 
 
-def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: int = MEMBERS, counted: int = COUNTED) -> DataFrame:
-    """One row per input row: key, fingerprint (16 hex digits) and component_id."""
-    table = materialize(fingerprint_table(docs, key=key, text=text), "fingerprints")
-    distinct = materialize(table.groupBy("print").agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct")
-    spark = docs.sparkSession
+def print_links(distinct: DataFrame, members: int = MEMBERS, counted: int = COUNTED) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join the distinct fingerprints within DISTANCE, directly or by steps, and the written table of hot keys."""
     keyed = map_batches(distinct.select("print"), _explode, "key long, print long")
     hot = materialize(hot_keys(distinct, members, counted), "hot-keys")
     repeats = hot.agg(F.sum(F.col("blocks") * F.col("blocks")).alias("n")).first().n or 0
     if repeats:
         keyed = deal(keyed, hot)  # Spark broadcasts `hot` or not by the size of its files
     # 185 keys a fingerprint, and the members of hot groups once a block: enough partitions that a task sorts about a million rows
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (distinct.count() * 185 + repeats * members) // 1_000_000)
-    links = map_batches(keyed.repartition(parts, "key").sortWithinPartitions("key"), _link, "a long, b long")
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + (distinct.count() * 185 + repeats * members) // 1_000_000)
+    return map_batches(keyed.repartition(parts, "key").sortWithinPartitions("key"), _link, "a long, b long"), hot
+
+
+def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", members: int = MEMBERS, counted: int = COUNTED) -> DataFrame:
+    """One row per input row: key, fingerprint (16 hex digits) and component_id."""
+    table = materialize(fingerprint_table(docs, key=key, text=text), "fingerprints")
+    distinct = materialize(table.groupBy("print").agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct")
+    links, hot = print_links(distinct, members, counted)
     roots = components(links)
     least = materialize(distinct.join(roots, distinct.print == roots.node, "left").select("print", F.coalesce("root", "print").alias("root"), "least", "n"), "rooted")
     by_root = materialize(least.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")), "roots")
@@ -238,8 +247,12 @@ def shingle_sets(texts: pa.Array, shingle: int = WORDS) -> tuple[np.ndarray, np.
                 own = np.arange(len(short) + 1) * k
                 hashes = np.r_[hashes, decontaminate.shingle_hashes(ragged.gather(words, first[short], np.full(len(short), k)), own, k)[0]]
                 row = np.r_[row, short]
-        order = np.lexsort((hashes, row))
-        hashes, row = hashes[order], row[order]
+        if len(row) > start[-1]:
+            order = np.argsort(row, kind="stable")
+            hashes, row = hashes[order], row[order]
+        ends = np.flatnonzero(np.r_[row[1:] != row[:-1], True][: len(row)]) + 1
+        for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+            hashes[a:b].sort()
         new = np.r_[True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])][: len(row)]
         found.append(hashes[new])
         sizes.append(np.bincount(row[new], minlength=len(first) - 1))
@@ -252,6 +265,50 @@ def set_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(blob[a:b]) for a, b in zip(ends, ends[1:], strict=False)), np.uint64, len(first) - 1).view(np.int64)
 
 
+#: The eight bits of an octet, each in a byte of its own.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
+def set_prints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The SimHash of each set: a bit is set if it is in over half of its hashes; zero for an empty set."""
+    size, out = np.diff(first), np.zeros(len(first) - 1, np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        pieces = -(-size[full] // 255)  # a byte counts so many
+        head = np.r_[0, np.cumsum(pieces)]
+        start = np.repeat(first[full], pieces) + 255 * (np.arange(head[-1]) - np.repeat(head[:-1], pieces))
+        octets = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+        count = np.stack([np.add.reduceat(_LANES[o], start) for o in octets], 1).astype("<u8").view(np.uint8)
+        count = np.add.reduceat(count, head[:-1], axis=0, dtype=np.int64)
+        out[full] = np.packbits(2 * count > size[full, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def parities(hashes: np.ndarray, first: np.ndarray) -> pa.Array:
+    """For each set one bit or more a member (a power of two, 64 at least): whether an odd number of members falls on it."""
+    size = np.diff(first)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    start = np.r_[0, np.cumsum(bits)]
+    at = start[:-1].repeat(size) + (hashes & (bits - 1).astype(np.uint64).repeat(size)).astype(np.int64)
+    odd = np.packbits(np.bincount(at, minlength=int(start[-1])).astype(np.uint8) & 1, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((start // 8).astype(np.int32)), pa.py_buffer(odd)])
+
+
+def can_be_similar(a: pa.Array, b: pa.Array, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m members with these parities can be similar. The bits of a larger set are folded to those of the lesser."""
+    sizes = [np.array(pc.binary_length(x)) for x in (a, b)]
+    needed = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+    out = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
+    for x, y in np.unique(np.stack(sizes, 1), axis=0).tolist():
+        at = np.flatnonzero((sizes[0] == x) & (sizes[1] == y))
+        rows = [np.frombuffer(b"".join(side.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) for side in (a, b)]
+        width = min(x, y)
+        rows = [np.bitwise_xor.reduce(r.reshape(len(at), -1, width), axis=1) for r in rows]
+        apart = np.bitwise_count(rows[0] ^ rows[1]).sum(1, dtype=np.int64)
+        out[at] &= n[at] + m[at] - apart >= 2 * needed[at]
+    return out
+
+
 def least_common(sizes: np.ndarray, similarity: float) -> np.ndarray:
     """The least whole number that is `similarity` of each size."""
     return np.ceil(similarity * sizes - 1e-9).astype(np.int64)
@@ -267,11 +324,18 @@ def prefixes(hashes: np.ndarray, first: np.ndarray, common: np.ndarray, similari
     row, size = ragged.row_of(first), np.diff(first)
     late = np.zeros(len(hashes), bool)
     if len(common):
-        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
-    order = np.lexsort((hashes, late, row))
-    place = np.arange(len(hashes)) - first[row]
+        seen = np.zeros(1 << 22, bool)  # most are told apart by their highest bits
+        seen[common >> np.uint64(42)] = True
+        some = np.flatnonzero(seen[hashes >> np.uint64(42)])
+        late[some] = common[np.minimum(np.searchsorted(common, hashes[some]), len(common) - 1)] == hashes[some]
+    early = np.r_[0, np.cumsum(~late)]  # before each shingle, and in all
+    mine, before = np.arange(len(hashes)) - first[row], early[:-1] - early[first[row]]
+    place = np.where(late, (early[first[1:]] - early[first[:-1]])[row] + mine - before, before)
+    ordered = np.empty_like(hashes)
+    ordered[first[row] + place] = hashes
+    place = mine
     kept = place < (size - least_common(size, similarity) + shared_least(size))[row]
-    return hashes[order][kept], row[kept], place[kept]
+    return ordered[kept], row[kept], place[kept]
 
 
 def _whole_groups(batches):
@@ -368,7 +432,31 @@ def _verify(similarity: float, shingle: int):
     return run
 
 
-def copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL, block: int = BLOCK, counted: int = COUNTED) -> DataFrame:
+def simhash_pairs(distinct: DataFrame, members: int = MEMBERS, counted: int = COUNTED) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes whose fingerprints join: each node with the least one of its fingerprint, and these by the links; a written table."""
+    least = materialize(distinct.groupBy("print").agg(F.min("node").alias("least"), F.count("*").alias("n")), "prints")
+    links, hot = print_links(least, members, counted)
+    own = join_counted(distinct.select("node", "print"), least, "print", "n").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    one, other = (least.select(F.col("print").alias(c), F.col("least").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    between = links.distinct().join(one, "a").join(other, "b").select("x", "y")
+    out = materialize(own.union(between).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "simhash-pairs")
+    discard(least, hot)
+    return out
+
+
+def possible(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that their sizes and parities don't rule out."""
+    sets = lambda x: distinct.select(F.col("node").alias(x), F.col("odd").alias(f"odd_{x}"), F.col("size").alias(f"size_{x}"))
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array(can_be_similar(batch.column(2), batch.column(3), n, m, similarity)))
+
+    return map_batches(pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "odd_a", "odd_b", "size_a", "size_b"), run, "a long, b long")
+
+
+def copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL, block: int = BLOCK, members: int = MEMBERS, counted: int = COUNTED) -> DataFrame:
     """One row for each component of texts whose shingle sets are similar: the least key, in the column component_id,
     the least hash of a set that has it (node), and how many rows have that set (n)."""
     spark = docs.sparkSession
@@ -377,10 +465,10 @@ def copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle:
     def sign(batches):
         for batch in (whole.slice(lo, 1024) for whole in batches for lo in range(0, whole.num_rows, 1024)):
             hashes, first = shingle_sets(batch.column(1), shingle)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_hashes(hashes, first)), pa.array(np.diff(first))], names=["least", "text", "node", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_hashes(hashes, first)), pa.array(np.diff(first)), pa.array(set_prints(hashes, first).view(np.int64)), parities(hashes, first)], names=["least", "text", "node", "size", "print", "odd"])
 
-    signed = map_batches(docs.select(F.col(key).alias("least"), F.col(text).alias("text")), sign, f"least {kind}, text string, node long, size long")
-    distinct = materialize(signed.groupBy("node").agg(F.min("least").alias("least"), F.first("size").alias("size"), F.first("text").alias("text"), F.count("*").alias("n")), "distinct")
+    signed = map_batches(docs.select(F.col(key).alias("least"), F.col(text).alias("text")), sign, f"least {kind}, text string, node long, size long, print long, odd binary")
+    distinct = materialize(signed.groupBy("node").agg(F.min("least").alias("least"), *(F.first(c).alias(c) for c in ("size", "text", "print", "odd")), F.count("*").alias("n")), "distinct")
 
     def spread(batches):
         for batch in batches:
@@ -403,16 +491,18 @@ def copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows // 1_000_000)
     found = materialize(map_batches(keyed.repartition(parts, "key").sortWithinPartitions("key"), _candidates(similarity, small), "a long, b long, n long, least long"), "candidates")
     texts, texts_b = distinct.select(F.col("node").alias("a"), F.col("text").alias("text_a")), distinct.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    enough = materialize(found.where("least > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("least").alias("least")).where("n >= least").select("a", "b"), "pairs")
+    linked = simhash_pairs(distinct, members, counted)
+    shared = found.where("least > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("least").alias("least")).where("n >= least").select("a", "b")
+    enough = materialize(possible(linked.union(shared).distinct(), distinct, similarity), "pairs")
     pairs = enough.join(texts, "a").join(texts_b, "b").select("a", "b", "text_a", "text_b")
     links = map_batches(pairs, _verify(similarity, shingle), "a long, b long")
-    members = found.where("least = 0").select(F.col("a").alias("key"), F.col("b").alias("print"))
-    if not members.isEmpty():
-        counts = members.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks"))
-        dealt = deal(members, materialize(counts, "hot-keys")).join(texts.withColumnRenamed("a", "print"), "print").select("key", "print", "text_a")
+    large = found.where("least = 0").select(F.col("a").alias("key"), F.col("b").alias("print"))
+    if not large.isEmpty():
+        counts = large.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks"))
+        dealt = deal(large, materialize(counts, "hot-keys")).join(texts.withColumnRenamed("a", "print"), "print").select("key", "print", "text_a")
         links = links.union(map_batches(dealt.repartition(parts, "key").sortWithinPartitions("key"), _search(similarity, shingle), "a long, b long"))
     roots = components(links)
-    discard(found, enough)
+    discard(found, linked, enough)
     one = F.struct("least", "node", "n")
     named = distinct.select("node", "least", "n").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.coalesce(F.min(F.when(F.col("least").isNotNull(), one)), F.min(one)).alias("x"))
     return named.select(F.col("x.least").alias("component_id"), "x.node", "x.n")
@@ -427,6 +517,9 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     rows = docs.withColumn(name, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), stand_in.alias("hash")))  # rows with ids sort first
     found = materialize(copies(rows, key=name, text=text).select(F.col("component_id").alias(name), F.col("node").alias(wanted), F.col("n").alias(times)), "kept")
     joined = rows.join(found, name)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if docs.groupBy(key).count().where("count > 1").isEmpty():  # an id tells the row
+        return joined.select(*columns)
     at, to = joined.columns.index(text), joined.columns.index(wanted)
 
     def same_set(batches):
@@ -434,7 +527,6 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
             yield batch.filter(pa.array(set_hashes(*shingle_sets(batch.column(at))) == batch.column(to).to_numpy()))
 
     kept = map_batches(joined, same_set, joined.schema)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     once, often = kept.where(F.col(times) == 1), kept.where(F.col(times) > 1).dropDuplicates([name, wanted])
     return once.select(*columns).union(often.select(*columns))
 

@@ -162,6 +162,40 @@ def test_near_dedup_stage_equals_brute_force_similarity(spark, documents):
     assert sorted(r.component_id for r in near_dup.copies(df, small=1, block=2, counted=1).collect()) == expected
 
 
+def test_near_dedup_stage_links_simhashes_and_loses_no_similar_pair(spark, documents):
+    """Fingerprints of the stage's own sets are linked by Golay keys; sizes and parities rule out no similar pair."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 3, 254, 255, 256, 600)]
+    for own in list(sets[1:]):
+        for share in (0.01, 0.1, 0.2, 0.5):
+            other = own.copy()
+            other[: int(share * len(own))] = rng.integers(0, 1 << 63, int(share * len(own)), dtype=np.uint64)
+            sets += [np.unique(other), own[int(share * len(own)) :]]
+    flat, first = np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])]
+    for x, got in zip(sets, near_dup.set_prints(flat, first).tolist(), strict=True):
+        assert got == sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in x) > len(x))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    odd, size = near_dup.parities(flat, first), np.diff(first)
+    can = near_dup.can_be_similar(odd.take(pa.array(a)), odd.take(pa.array(b)), size[a], size[b], 0.8)
+    same = [len(np.intersect1d(sets[i], sets[j])) / max(1, len(np.union1d(sets[i], sets[j]))) >= 0.8 for i, j in zip(a, b, strict=True)]
+    assert all(can[same]) and 2 * sum(~can) > len(can)
+    hashes, first = near_dup.shingle_sets(pa.array([t for _, t in documents]))
+    prints = near_dup.set_prints(hashes, first).tolist()
+    rows = [(k, np.uint64(p).astype(np.int64).item()) for k, p in enumerate(prints)]
+    pairs = {(r.a, r.b) for r in near_dup.simhash_pairs(spark.createDataFrame(rows, "node long, print long"), counted=1).collect()}
+    groups = {k: k for k in range(len(rows))}
+
+    def root(k):
+        while groups[k] != k:
+            k = groups[k]
+        return k
+
+    for x, y in pairs:
+        groups[root(y)] = root(x)
+    near = [(x, y) for y in range(len(rows)) for x in range(y) if (prints[x] ^ prints[y]).bit_count() <= near_dup.DISTANCE]
+    assert near and all(root(x) == root(y) for x, y in near)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
