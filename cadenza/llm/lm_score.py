@@ -19,7 +19,7 @@ frequent ones, the last of them standing for all others, are trained together on
 word vectors and biases of all classes to the contexts' vectors, and the contexts' to the words': each row is a logistic
 regression of its own on the pairs it has, so blocks of rows need nothing from each other. The groups: classes whose
 word vectors are close, by halving them along their principal direction, over and over. The places: one model each,
-and then their weights a_j, on `WINDOWS` tokens of the texts with the least hashes, a bounded sample.
+and then their weights a_j, by `ROUNDS` Newton steps on all training tokens, one pass each.
 
 A word of a hashed class pays log((count + 1) / mass), where mass sums (count + 1) over the words of its
 class, and 1 for words not seen in training; so a text's score is the log probability of a proper model.
@@ -50,7 +50,7 @@ from .storage import discard, map_batches, materialize
 
 END = np.uint64(0)
 CORE = 1024  # classes trained together before all are fitted
-CONTEXTS, TOP, MOST_GROUPS, WINDOWS, SAMPLED = 3, 2048, 128, 1 << 15, 512
+CONTEXTS, TOP, MOST_GROUPS, ROUNDS = 3, 2048, 128, 2
 _FINE = 64  # steps of count levels in each power of two
 
 
@@ -401,35 +401,47 @@ def learn_places(counts: np.ndarray, *, steps: int) -> Places:
     return Places([(m.context @ m.between).astype(np.float32) for m in models], [m.word for m in models], [(m.bias - share).astype(np.float32) for m in models], np.full(len(models), 1 / len(models)), share)
 
 
-def weigh_places(places: Places, before: list[np.ndarray], groups: np.ndarray, *, steps: int = 60) -> Places:
-    """Set the places' weights by gradient steps on the log probabilities of these windows' groups."""
-    if not len(groups):
-        return places
-    features, every = places.features(before), np.arange(len(groups))
-    weight, first, second = places.weight.copy(), np.zeros(len(features)), np.zeros(len(features))
-    for step in range(1, steps + 1):
-        s = places.share + sum(np.float32(a) * f for a, f in zip(weight, features, strict=True))
-        p = np.exp(s - s.max(1, keepdims=True))
+def place_sums(places: Places, before: list[np.ndarray], groups: np.ndarray, piece: int = 1024) -> np.ndarray:
+    """Of these tokens' groups: how many, and the slopes (one a place) and curvatures (place by place) of the sum of their log probabilities by the places' weights."""
+    k = len(places.weight)
+    slope, bend = np.zeros(k), np.zeros((k, k))
+    for lo in range(0, len(groups), piece):
+        own = groups[lo : lo + piece]
+        features, every = places.features([b[lo : lo + piece] for b in before]), np.arange(len(own))
+        p = places.share + sum(np.float32(a) * f for a, f in zip(places.weight, features, strict=True))
+        np.exp(p - p.max(1, keepdims=True), out=p)
         p /= p.sum(1, keepdims=True)
-        g = np.array([float((f[every, groups] - (p * f).sum(1)).mean()) for f in features])
-        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        weight = weight + 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-    return Places(places.context, places.group, places.bias, weight, places.share)
+        drawn = [p * f for f in features]
+        mean = np.stack([x.sum(1) for x in drawn]).astype(np.float64)
+        slope += np.stack([f[every, own] for f in features]).sum(1, dtype=np.float64) - mean.sum(1)
+        bend += mean @ mean.T - [[np.vdot(x, f) for f in features] for x in drawn]
+    return np.r_[len(groups), slope, bend.ravel()]
 
 
-def sample_windows(docs: DataFrame, vocab: Vocabulary, group: np.ndarray, *, text: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
-    """Contexts and groups of at most WINDOWS tokens, evenly spaced over the SAMPLED distinct texts with the least hashes."""
-    rows = docs.select(F.col(text).alias("text")).where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(4 * SAMPLED).dropDuplicates(["h"]).orderBy("h").limit(SAMPLED).select("text").toArrow()
-    found: list[list[np.ndarray]] = []
-    for _, _, buf, offsets in ragged.slices(rows.column(0).combine_chunks()):
-        hashes, first = tokens(buf, offsets)
-        c = vocab.class_of(vocab.find(hashes), hashes)
-        found.append([*contexts(c, first), group[c]])
-    if not found:
-        return [np.zeros(0, np.int64)] * CONTEXTS, np.zeros(0, np.int64)
-    *before, groups = (np.concatenate(x) for x in zip(*found, strict=True))
-    at = np.unique(np.linspace(0, len(groups) - 1, min(len(groups), WINDOWS)).astype(np.int64))
-    return [b[at] for b in before], groups[at]
+def weigh_places(places: Places, docs: DataFrame, vocab: Vocabulary, group: np.ndarray, *, text: str = "text", rounds: int = ROUNDS) -> Places:
+    """Set the places' weights by Newton steps on the log probabilities of the groups of all tokens of the corpus, one pass a step. The sum is concave in them."""
+    kept, k, sc = vocab.classes >= 0, len(places.weight), docs.sparkSession.sparkContext
+    small = Vocabulary(vocab.words[kept], vocab.counts[kept], vocab.classes[kept], vocab.short, vocab.hashed, 0, 0, 0)
+    for _ in range(rounds):
+        shared = sc.broadcast((small, group, places))
+
+        def run(batches, shared=shared):
+            (v, g, now), total = shared.value, np.zeros(1 + k + k * k)
+            for batch in batches:
+                for _, _, buf, offsets in ragged.slices(batch.column(0)):
+                    hashes, first = tokens(buf, offsets)
+                    c = v.class_of(v.find(hashes), hashes)
+                    total += place_sums(now, contexts(c, first), g[c])
+            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["sums"])
+
+        got = map_batches(docs.select(F.col(text).alias("text")), run, "sums array<double>").toArrow().column(0).to_pylist()
+        n, slope, bend = np.split(np.array(got, float).reshape(-1, 1 + k + k * k).sum(0), [1, 1 + k])
+        if not n[0]:
+            return places
+        step = np.linalg.solve(-bend.reshape(k, k) / n + 1e-6 * np.eye(k), slope / n)
+        step = step / max(1.0, float(np.abs(step).max()))
+        places = Places(places.context, places.group, places.bias, places.weight + step, places.share)
+    return places
 
 
 def _log_sums(s: np.ndarray) -> np.ndarray:
@@ -531,7 +543,7 @@ def learn_scorer(corpus: DataFrame, vocab: Vocabulary, mass: np.ndarray, *, text
     discard(pairs)
     group = groups_of(model.word, group_count(vocab.size))
     places = learn_places(group_pairs(corpus, vocab, group, text=text), steps=max(1, steps // 2))
-    places = weigh_places(places, *sample_windows(corpus, vocab, group, text=text))
+    places = weigh_places(places, corpus, vocab, group, text=text)
     return Scorer((model.context @ model.between).astype(np.float32), model.word.astype(np.float32), model.bias.astype(np.float32), group, places, np.log10(mass))
 
 

@@ -528,6 +528,33 @@ def test_decontamination_recall_at_the_threshold(n):
     assert not wanted or np.mean([x in hit for x in wanted]) >= 0.95
 
 
+def test_places_weights_come_from_all_tokens(spark, documents):
+    """At the weights the slope of all tokens' log probability is zero; no text is left out."""
+    docs = spark.createDataFrame(documents, "doc_id long, text string").repartition(3)
+    vocab = lm_score.vocabulary(lm_score.word_counts(docs), classes=48)
+    group = np.arange(vocab.size) % 4
+    start = lm_score.learn_places(lm_score.group_pairs(docs, vocab, group), steps=10)
+    now = lm_score.weigh_places(start, docs, vocab, group, rounds=6)
+    every, total = [], 0
+    for _, _, buf, offsets in ragged.slices(pa.array([t for _, t in documents])):
+        hashes, first = lm_score.tokens(buf, offsets)
+        c = vocab.class_of(vocab.find(hashes), hashes)
+        every.append((lm_score.contexts(c, first), group[c]))
+        total += len(c)
+
+    def logs(weight):
+        places = lm_score.Places(now.context, now.group, now.bias, weight, now.share)
+        return sum(float(places.log_probabilities(before)[np.arange(len(own)), own].sum(dtype=np.float64)) for before, own in every) / total
+
+    best = logs(now.weight)
+    assert best > logs(start.weight)
+    for k in range(lm_score.CONTEXTS):
+        for sign in (-1, 1):
+            assert logs(now.weight + sign * 0.05 * np.eye(lm_score.CONTEXTS)[k]) < best
+    two = lm_score.weigh_places(start, docs, vocab, group)
+    assert abs(logs(two.weight) - best) < 1e-3
+
+
 def test_lm_score_equals_brute_force(spark, documents):
     """Each token's probability written out: a softmax over groups after three contexts, one over the group's classes after the last, a word's share in its class."""
     docs, learn = queries.table(spark, SF, "documents"), ~queries.fold(7, 2)
