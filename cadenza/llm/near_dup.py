@@ -28,7 +28,8 @@ loses no pair; l is 1 and a share `MORE` of n, of the lesser set for a pair. The
 shingles (estimated from one text in 16) last, as they would make large groups; the estimate decides only
 the order. Pairs that share l in groups of at most `SMALL` members, and by length and place can be
 similar, are verified too. Larger groups are searched with their texts, in blocks as
-above, so a pair with a shingle in one of them is found there, whatever it shares elsewhere.
+above, so a pair with a shingle in one of them is found there, whatever it shares elsewhere. Within a block each set
+is held against all not joined yet by parity bits, and member by member against those that these don't rule out.
 
 Before texts are fetched for a verification, pairs are ruled out by the parity bits of their sets: two sets
 differ in at least as many shingles as their parity bits differ, so no similar pair is lost.
@@ -381,22 +382,45 @@ def _candidates(similarity: float, small: int):
     return run
 
 
+def local_parities(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one group's sets: how many members of each are in another set too, and parity bits of these members (a row of words a set)."""
+    _, at, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared, sets = times[at] > 1, len(first) - 1
+    known = ragged.sums(shared, first)
+    distinct = int((times > 1).sum())
+    bits = 1 << max(6, (min(distinct, 8 * int(known.sum()) // max(sets, 1)) - 1).bit_length())
+    place = ((np.cumsum(times > 1) - 1) & (bits - 1))[at]
+    odd = np.zeros((sets, bits // 8), np.uint8)
+    step = max(1, (1 << 20) // bits)
+    for lo in range(0, sets, step):
+        hi = min(lo + step, sets)
+        part = slice(first[lo], first[hi])
+        cell = (np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1])) * bits + place[part])[shared[part]]
+        odd[lo:hi] = np.packbits((np.bincount(cell, minlength=(hi - lo) * bits) & 1).astype(np.uint8)).reshape(hi - lo, -1)
+    return known, odd.view(np.uint64)
+
+
 def similar_links(nodes: np.ndarray, hashes: np.ndarray, first: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the similar sets of one group of distinct nodes, directly or by steps: a forest."""
+    """Links that join the similar sets of one group of distinct nodes, directly or by steps: a forest. Only pairs that their parities don't rule out are compared member by member."""
     size, left, ends_a, ends_b = np.diff(first), np.arange(len(nodes)), [], []
+    known, odd = local_parities(hashes, first)
     while len(left) > 1:
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             x = frontier.pop()
             own = hashes[first[x] : first[x + 1]]
             near = left[np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x]) - 1e-9]
+            apart = np.concatenate([np.bitwise_count(odd[near[lo : lo + 256]] ^ odd[x]).sum(1, dtype=np.int64) for lo in range(0, len(near), 256)] or [near])
+            most = (known[near] + known[x] - apart) // 2  # members shared, at most
+            near = near[most >= similarity * (size[near] + size[x] - most) - 1e-9]
             flat = ragged.gather(hashes, first[near], size[near])
             shared = ragged.sums(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat if len(own) else np.zeros(len(flat), bool), np.r_[0, np.cumsum(size[near])])
             near = near[shared >= similarity * (size[near] + size[x] - shared) - 1e-9]
-            ends_a.append(np.full(len(near), nodes[x]))
-            ends_b.append(nodes[near])
-            frontier += near.tolist()
-            left = left[~np.isin(left, near)]
+            if len(near):
+                ends_a.append(np.full(len(near), nodes[x]))
+                ends_b.append(nodes[near])
+                frontier += near.tolist()
+                left = left[~np.isin(left, near)]
     empty = [np.empty(0, np.int64)]
     return np.concatenate(ends_a or empty), np.concatenate(ends_b or empty)
 

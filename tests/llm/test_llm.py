@@ -219,6 +219,37 @@ def test_decontamination_equals_brute_force(spark, documents):
         assert got[doc].item_ids == sorted(expected)
 
 
+def test_large_group_of_unlike_sets_is_compared_by_bits(monkeypatch):
+    """Sets that share much but too little are told apart without going through their members; forests are those of brute force."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+
+    def version(origin, kept):
+        return np.unique(np.r_[rng.choice(origin, kept, replace=False), rng.integers(0, 2**64, 300 - kept, dtype=np.uint64)])
+
+    sets = [version(base, 225) for _ in range(300)]
+    sets += [version(sets[k], 290) for k in range(0, 300, 5)] + [np.empty(0, np.uint64), np.empty(0, np.uint64), base[:1], base[:1].copy()]
+    hashes, first = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    gathered, gather = [], ragged.gather
+    monkeypatch.setattr(ragged, "gather", lambda pool, starts, lengths: gathered.append(int(lengths.sum())) or gather(pool, starts, lengths))
+    a, b = near_dup.similar_links(np.arange(len(sets)), hashes, first, 0.8)
+    assert sum(gathered) < 20 * len(hashes)
+    joined, wanted = list(range(len(sets))), list(range(len(sets)))
+
+    def join(names, x, y):
+        names[:] = [names[y] if n == names[x] else n for n in names]
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        join(joined, x, y)
+    for y in range(len(sets)):
+        for x in range(y):
+            shared = len(np.intersect1d(sets[x], sets[y]))
+            if shared >= 0.8 * (len(sets[x]) + len(sets[y]) - shared) - 1e-9:
+                join(wanted, x, y)
+    least = lambda names: [names.index(n) for n in names]
+    assert least(joined) == least(wanted) and len(a) == len(sets) - len(set(wanted)) >= 62
+
+
 def test_decontamination_finds_near_and_short_copies(spark):
     words = [f"w{k}" for k in range(60)]
     changed = [*words[:30], "other", *words[31:]]
