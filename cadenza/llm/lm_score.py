@@ -401,41 +401,76 @@ def learn_places(counts: np.ndarray, *, steps: int) -> Places:
     return Places([(m.context @ m.between).astype(np.float32) for m in models], [m.word for m in models], [(m.bias - share).astype(np.float32) for m in models], np.full(len(models), 1 / len(models)), share)
 
 
-def place_sums(places: Places, before: list[np.ndarray], groups: np.ndarray, piece: int = 1024) -> np.ndarray:
-    """Of these tokens' groups: how many, and the slopes (one a place) and curvatures (place by place) of the sum of their log probabilities by the places' weights."""
+def place_sums(places: Places, parts, most: int = 1 << 21, piece: int = 512) -> np.ndarray:
+    """Of the tokens of `parts` (their contexts, and their groups): how many, and the slopes (one a place) and curvatures (place by place) of the sum of their log probabilities by the places' weights.
+
+    What doesn't depend on a token's own group is worked out once for all of about `most` tokens that have the same contexts."""
+    k, top = len(places.weight), len(places.context[0])
+    tables = [c @ g.T + b for c, g, b in zip(places.context, places.group, places.bias, strict=True)]
+    slope, bend, n, held, waiting = np.zeros(k), np.zeros((k, k)), 0, [], 0
+
+    def spend():
+        keys, every = np.unique(np.concatenate(held), return_counts=True)
+        for lo in range(0, len(keys), piece):
+            key, times = keys[lo : lo + piece], every[lo : lo + piece]
+            features = [t[key // top**j % top] for j, t in enumerate(tables)]
+            p = places.share + sum(np.float32(a) * f for a, f in zip(places.weight, features, strict=True))
+            np.exp(p - p.max(1, keepdims=True), out=p)
+            p *= (times / p.sum(1))[:, None].astype(np.float32)
+            drawn = [p * f for f in features]
+            sums = np.stack([x.sum(1) for x in drawn]).astype(np.float64)
+            slope[:] -= sums.sum(1)
+            bend[:] += (sums / times) @ sums.T
+            for i, x in enumerate(drawn):
+                for j in range(i, k):
+                    both = np.vdot(x, features[j])
+                    bend[i, j] -= both
+                    bend[j, i] -= both * (i != j)
+
+    for before, groups in parts:
+        capped = [np.minimum(h, top - 1) for h in before]
+        slope += [t[h, groups].sum(dtype=np.float64) for t, h in zip(tables, capped, strict=True)]
+        held.append(sum(h.astype(np.int64) * top**j for j, h in enumerate(capped)))
+        n, waiting = n + len(groups), waiting + len(groups)
+        if waiting >= most:
+            spend()
+            held, waiting = [], 0
+    if waiting:
+        spend()
+    return np.r_[n, slope, bend.ravel()]
+
+
+def weigh_places(places: Places, source: DataFrame | list[np.ndarray], *of, text: str = "text", rounds: int = ROUNDS) -> Places:
+    """Set the places' weights by Newton steps on the log probabilities of the groups of all tokens, one pass a step. The sum is concave in them.
+    The tokens: those of documents, given with the vocabulary and the classes' groups; or contexts, given with the tokens' groups."""
     k = len(places.weight)
-    slope, bend = np.zeros(k), np.zeros((k, k))
-    for lo in range(0, len(groups), piece):
-        own = groups[lo : lo + piece]
-        features, every = places.features([b[lo : lo + piece] for b in before]), np.arange(len(own))
-        p = places.share + sum(np.float32(a) * f for a, f in zip(places.weight, features, strict=True))
-        np.exp(p - p.max(1, keepdims=True), out=p)
-        p /= p.sum(1, keepdims=True)
-        drawn = [p * f for f in features]
-        mean = np.stack([x.sum(1) for x in drawn]).astype(np.float64)
-        slope += np.stack([f[every, own] for f in features]).sum(1, dtype=np.float64) - mean.sum(1)
-        bend += mean @ mean.T - [[np.vdot(x, f) for f in features] for x in drawn]
-    return np.r_[len(groups), slope, bend.ravel()]
-
-
-def weigh_places(places: Places, docs: DataFrame, vocab: Vocabulary, group: np.ndarray, *, text: str = "text", rounds: int = ROUNDS) -> Places:
-    """Set the places' weights by Newton steps on the log probabilities of the groups of all tokens of the corpus, one pass a step. The sum is concave in them."""
-    kept, k, sc = vocab.classes >= 0, len(places.weight), docs.sparkSession.sparkContext
-    small = Vocabulary(vocab.words[kept], vocab.counts[kept], vocab.classes[kept], vocab.short, vocab.hashed, 0, 0, 0)
+    if not isinstance(source, DataFrame):
+        passes = lambda now: place_sums(now, [(source, *of)])
+    else:
+        vocab, group = of
+        kept, sc = vocab.classes >= 0, source.sparkSession.sparkContext
+        small = Vocabulary(vocab.words[kept], vocab.counts[kept], vocab.classes[kept], vocab.short, vocab.hashed, 0, 0, 0)
+
+        def passes(now):
+            shared = sc.broadcast((small, group, now))
+
+            def run(batches):
+                v, g, model = shared.value
+
+                def parts():
+                    for batch in batches:
+                        for _, _, buf, offsets in ragged.slices(batch.column(0)):
+                            hashes, first = tokens(buf, offsets)
+                            c = v.class_of(v.find(hashes), hashes)
+                            yield contexts(c, first), g[c]
+
+                yield pa.RecordBatch.from_arrays([pa.array([place_sums(model, parts())])], names=["sums"])
+
+            got = map_batches(source.select(F.col(text).alias("text")), run, "sums array<double>").toArrow().column(0).to_pylist()
+            return np.array(got, float).reshape(-1, 1 + k + k * k).sum(0)
+
     for _ in range(rounds):
-        shared = sc.broadcast((small, group, places))
-
-        def run(batches, shared=shared):
-            (v, g, now), total = shared.value, np.zeros(1 + k + k * k)
-            for batch in batches:
-                for _, _, buf, offsets in ragged.slices(batch.column(0)):
-                    hashes, first = tokens(buf, offsets)
-                    c = v.class_of(v.find(hashes), hashes)
-                    total += place_sums(now, contexts(c, first), g[c])
-            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["sums"])
-
-        got = map_batches(docs.select(F.col(text).alias("text")), run, "sums array<double>").toArrow().column(0).to_pylist()
-        n, slope, bend = np.split(np.array(got, float).reshape(-1, 1 + k + k * k).sum(0), [1, 1 + k])
+        n, slope, bend = np.split(passes(places), [1, 1 + k])
         if not n[0]:
             return places
         step = np.linalg.solve(-bend.reshape(k, k) / n + 1e-6 * np.eye(k), slope / n)
@@ -454,6 +489,14 @@ def _log_sums(s: np.ndarray) -> np.ndarray:
     return shift + np.log(np.exp(s, out=s).sum(1))
 
 
+def _same(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts keys, the distinct ones, which of them each key in that order is, and where each begins (one more at the end)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)]
+    return order, ordered[new], np.cumsum(new) - 1, np.r_[np.flatnonzero(new), len(keys)]
+
+
 @dataclass
 class Scorer:
     """Context and word vectors and biases of classes, their groups, the model of groups, and logs of hashed classes' masses."""
@@ -490,21 +533,28 @@ class Tables:
 
     def token_logs(self, classes: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each token's class after its contexts, by products over the groups and over the classes of its group."""
-        g, top = self.group[classes], len(self.contexts[0]) - 1
+        g, top = self.group[classes], len(self.contexts[0])
+        capped = [np.minimum(h, top - 1) for h in before]
         out = np.empty(len(classes))
-        for lo in range(0, len(classes), 1 << 12):  # pieces that stay in a core's cache
-            part = slice(lo, lo + (1 << 12))
-            some = g[part]
-            x = np.concatenate([c[np.minimum(h[part], top)] for c, h in zip(self.contexts, before, strict=True)] + [np.ones((len(some), 1), np.float32)], 1)
+        order, key, at, ends = _same(sum(h.astype(np.int64) * top**j for j, h in enumerate(capped)))  # contexts recur
+        for lo in range(0, len(key), 1 << 12):  # pieces that stay in a core's cache
+            part = key[lo : lo + (1 << 12)]
+            some = slice(ends[lo], ends[lo + len(part)])
+            mine, row = order[some], at[some] - lo
+            x = np.concatenate([c[part // top**j % top] for j, c in enumerate(self.contexts)] + [np.ones((len(part), 1), np.float32)], 1)
             s = x @ self.groups
-            own = s[np.arange(len(some)), some].astype(np.float64)
-            out[part] = own - _log_sums(s)
-        order = np.argsort(g, kind="stable")
-        heads = np.flatnonzero(np.r_[True, np.diff(g[order]) != 0][: len(order)])
-        for at in np.split(order, heads[1:]) if len(order) else ():
-            s = self.before[before[0][at]] @ self.after[g[at[0]]]
-            own = s[np.arange(len(at)), self.place[classes[at]]].astype(np.float64)
-            out[at] += own - _log_sums(s)
+            own = s[row, g[mine]].astype(np.float64)
+            out[mine] = own - _log_sums(s)[row]
+        size = len(self.before)
+        order, key, at, ends = _same(g * size + before[0])  # a group, and the last context
+        last = np.searchsorted(key, np.arange(len(self.after) + 1) * size)
+        for k in np.flatnonzero(np.diff(last)):
+            lo, hi = last[k], last[k + 1]
+            some = slice(ends[lo], ends[hi])
+            mine, row = order[some], at[some] - lo
+            s = self.before[key[lo:hi] - k * size] @ self.after[k]
+            own = s[row, self.place[classes[mine]]].astype(np.float64)
+            out[mine] += own - _log_sums(s)[row]
         return out
 
 
@@ -515,7 +565,7 @@ def _score(vocab, scorer):
         logs = np.log10(v.counts + 1.0)
         for batch in batches:
             out = []
-            for _, _, buf, offsets in ragged.slices(batch.column(1)):
+            for _, _, buf, offsets in ragged.slices(batch.column(1), 1 << 20):
                 hashes, first = tokens(buf, offsets)
                 at, row = v.find(hashes), ragged.row_of(first)
                 c, head = v.class_of(at, hashes), at >= 0
@@ -530,7 +580,7 @@ def _score(vocab, scorer):
                 cut = np.searchsorted(row[order[heads]], np.arange(len(first)))
                 lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (hashes[order[heads]].view(np.int64), np.diff(np.r_[heads, len(order)]).astype(np.int32))]
                 out.append([pa.array(x) for x in (np.diff(first), ragged.sums(head, first), ragged.sums(value, first), ragged.sums(value_rare, first), neural)] + lists)
-            for (lo, *_), columns in zip(ragged.slices(batch.column(1)), out, strict=True):
+            for (lo, *_), columns in zip(ragged.slices(batch.column(1), 1 << 20), out, strict=True):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(columns[0])), *columns], names=["uid", "n_tokens", "n_head", "head_log", "rare_log", "neural", "tail", "times"])
 
     return run

@@ -657,6 +657,25 @@ def test_lm_places_learn_which_context_tells():
     assert np.allclose(np.exp(model.log_probabilities([x[:9] for x in h])).sum(1), 1, atol=1e-5)
 
 
+def test_lm_places_work_out_recurring_contexts_once(monkeypatch):
+    """Sums for the places' weights against each token's own, and as many rows multiplied out as there are distinct contexts."""
+    rng = np.random.default_rng(5)
+    h, g = rng.integers(0, 5, (3, 6000)), rng.integers(0, 4, 6000)
+    counts = np.zeros((3, 4, 4))
+    for j in range(3):
+        np.add.at(counts[j], (np.minimum(h[j], 3), g), 1)
+    places = lm_score.learn_places(counts, steps=30)
+    rows, exp = [], np.exp
+    monkeypatch.setattr(lm_score.np, "exp", lambda x, **more: rows.append(len(x)) or exp(x, **more))
+    n, slope, bend = np.split(lm_score.place_sums(places, [(list(h[:, a:b]), g[a:b]) for a, b in ((0, 2500), (2500, 2500), (2500, 6000))]), [1, 4])
+    assert n[0] == 6000 and sum(rows) == 64
+    p = exp(places.log_probabilities(list(h)).astype(float))
+    f = np.stack(places.features(list(h))).astype(float)
+    mean = (p * f).sum(2)
+    assert np.allclose(slope, f[:, np.arange(6000), g].sum(1) - mean.sum(1), rtol=1e-4, atol=0.1)
+    assert np.allclose(bend.reshape(3, 3), mean @ mean.T - np.einsum("ng,ing,jng->ij", p, f, f), rtol=1e-3, atol=0.1)
+
+
 def test_lm_model_beats_single_word_counts_on_held_out_texts(spark):
     rows = [r for r in queries.op6_lm_score(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     tokens = sum(r.n_tokens for r in rows)
